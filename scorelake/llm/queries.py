@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import dedup, ngram_join, packing, token_files
+from scorelake.llm import dedup, langid, lines, mixing, ngram_join, packing, quality, token_files, toxicity, urls
 from scorelake.llm.common import read_table
 
 
+def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(read_table(spark, sf_dir, "documents"))
+
+
 def op2_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -29,9 +33,74 @@ def op4_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op7_lsh_forest_join)}
-ORACLE_SQL = {"op3_merge_index_dedup": OP3_SQL}
+def op8_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS left_size, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS left_weight FROM w
+  WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT left_size, left_weight FROM l WHERE left_size * weight <= cap * left_weight ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT l.source, l.source_size, CASE WHEN l.left_size * l.weight > l.cap * l.left_weight AND l.left_size >= f.left_size AND l.left_weight > f.left_weight THEN l.cap::DOUBLE
+  ELSE least((f.left_size * l.weight)::DOUBLE / f.left_weight::DOUBLE, l.cap::DOUBLE) END AS target FROM l, f),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, floor(b.target - b.whole * b.source_size)::BIGINT AS budget,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.hash) AS own
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN budget > 0 AND 2 * upto - own <= 2 * budget THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+"""
+
+
+def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(read_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d),
+l AS (SELECT *, trim(regexp_replace(regexp_replace(lower(x), '\p{N}+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM x WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+hosts AS (SELECT source, count(DISTINCT t) AS n_docs FROM d GROUP BY source),
+seen AS (SELECT source, line, count(DISTINCT t) AS n FROM l GROUP BY source, line HAVING count(DISTINCT t) > 10),
+hot AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source WHERE n > 0.02::DOUBLE * n_docs),
+removed AS (SELECT doc_id, sum(len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+'))) AS n FROM l JOIN hot ON l.source IS NOT DISTINCT FROM hot.source AND l.line = hot.line GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) > 1),
+c AS (SELECT doc_id, least(5, i - lag(i, 1, i - 5) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM r),
+repeated AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_removed
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed <= 0.5::DOUBLE * n_words AS kept FROM a
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rank_order_langid, op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op5_rule_ensemble_quality,
+        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules,
+    )
+}
+ORACLE_SQL = {"op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL}
