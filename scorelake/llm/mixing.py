@@ -70,21 +70,40 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", (F.col("prefix") + F.col("fits").cast("int")).alias("bound"))
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all rows; and for each source how often all are taken, and the bound below which once more."""
+    rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix_sizes")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    goals = written(targets(sizes, weights, repeats).withColumn("whole", whole), "mix_targets")
+    budgets = goals.select("source", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    bounds = thresholds(rows, budgets.where("budget > 0")).select(F.col("source").alias("t"), "bound")
+    known = goals.join(bounds, F.col("source").eqNullSafe(F.col("t")), "left")
+    bound = F.coalesce("bound", F.lit(0)).alias("__bound")
+    return rows, known.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), bound)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies), one per row of docs (doc_id, text, source).
 
     Each document is taken floor(target / source_size) times, and once more if its hash is below the
     source's threshold. Null text has size 0; null source is a source of its own, the last one; rows
     with one doc_id share a hash and fate, rows without doc_id have hash 0. A source without words
-    has target 0. An empty table gives no rows.
+    has target 0 and isn't taken. An empty table gives no rows.
     """
-    rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix_sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes, weights, repeats).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    goals = written(goals, "mix_targets")
-    budgets = goals.select("source", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    bounds = thresholds(rows, budgets.where("budget > 0")).select(F.col("source").alias("t"), "bound")
-    known = goals.join(bounds, F.col("source").eqNullSafe(F.col("t")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound"))
-    copies = (F.col("whole") + (F.col("hash") < F.col("bound")).cast("bigint")).cast("bigint")
-    out = rows.join(known, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    rows, known = plan(docs, weights, repeats)
+    copies = F.col("__whole") + (F.col("hash") < F.col("__bound")).cast("bigint")
+    out = rows.join(known, F.col("source").eqNullSafe(F.col("__source")))
+    return out.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """The mix as rows of docs with all their columns, each as often as it is taken; see mix.
+
+    Taken rows are told by source and hash, so texts aren't shuffled: a row per source is joined.
+    """
+    known = plan(docs, weights, repeats)[1]
+    out = docs.withColumn("__hash", id_hash(F.col("doc_id"))).join(known, F.col("source").eqNullSafe(F.col("__source")))
+    copies = (F.col("__whole") + (F.col("__hash") < F.col("__bound")).cast("bigint")).cast("int")
+    out = out.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

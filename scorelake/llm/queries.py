@@ -85,8 +85,9 @@ seen AS (SELECT source, line, count(DISTINCT t) AS n FROM l GROUP BY source, lin
 hot AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source WHERE n > 0.02::DOUBLE * n_docs),
 removed AS (SELECT doc_id, sum(len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+'))) AS n FROM l JOIN hot ON l.source IS NOT DISTINCT FROM hot.source AND l.line = hot.line GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l GROUP BY doc_id),
-g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
-r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) > 1),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM g WHERE e IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c, d, e) > 1),
 c AS (SELECT doc_id, least(5, i - lag(i, 1, i - 5) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM r),
 repeated AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
 a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,

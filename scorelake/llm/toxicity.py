@@ -22,7 +22,7 @@ from scorelake.llm.common import held_out, labelled_sample
 #: Labelled documents that training reads at most, and words that have a weight.
 SAMPLE, WORDS = 8000, 400
 #: A word needs so many training documents.
-LEAST = 5
+LEAST = 4
 STEPS, RATE, RIDGE = 400, 0.1, 1e-4
 FROM = 0.3
 
@@ -79,7 +79,7 @@ def vocabulary(bags: list[set[str]], y: np.ndarray, size: int) -> list[str]:
     expected = np.stack([c * share, c * (total - share), (total - c) * share, (total - c) * (total - share)]) / total
     gain = 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(0)
     order = np.argsort(-gain, kind="stable")[:size]
-    return [words[k] for k in order if gain[k] > 10.8]  # one in a thousand words by chance
+    return [words[k] for k in order if gain[k] > 15]  # one in ten thousand words by chance
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
