@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import held_out, labelled_sample
 
 #: Labelled documents that training reads at most, and words that have a weight.
-SAMPLE, WORDS = 8000, 400
-#: A word needs so many training documents.
-LEAST = 4
-STEPS, RATE, RIDGE = 400, 0.1, 1e-4
+SAMPLE, WORDS = 8000, 600
+#: A feature needs so many training documents; stems are beginnings of words of these lengths.
+LEAST, STEMS = 4, (4, 5, 6)
+STEPS, RATE, RIDGE = 500, 0.1, 1e-4
+#: Log-odds of a sentence without known features.
+BASE = -14.0
+PLAIN = float(np.log1p(-1 / (1 + np.exp(-BASE))))
 FROM = 0.3
 
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -35,26 +38,45 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if s.strip()]
 
 
+def parts(sentence: str) -> set[str]:
+    """Features of a lower-cased sentence: its words, and the beginnings of longer ones with a hyphen."""
+    words = set(_WORD.findall(sentence))
+    out = set(words)
+    for k in STEMS:
+        out.update({w[:k] + "-" for w in words if len(w) > k})
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
-    base: float
+    base: float = BASE
+
+    def __post_init__(self):
+        self._words = {w for w in self.weights if w[-1] != "-"}
+        self._stems = [(k, s) for k in STEMS if (s := {w[:-1] for w in self.weights if w[-1] == "-" and len(w) == k + 1})]
+
+    def _weight(self, sentence: str) -> float | None:
+        words = set(_WORD.findall(sentence))
+        found = sorted(self._words & words)
+        for k, stems in self._stems:
+            found += sorted(s + "-" for s in stems & {w[:k] for w in words if len(w) > k})
+        return sum(self.weights[f] for f in found) if found else None
 
     def sentence(self, text: str) -> float:
-        """Score of a sentence from the different words in it."""
-        found = self.weights.keys() & _WORD.findall(text.lower())
-        return _sigmoid(self.base + sum(self.weights[w] for w in sorted(found)))
+        """Score of a sentence from the different words and stems in it."""
+        weight = self._weight(text.lower())
+        return float(_sigmoid(BASE if weight is None else self.base + weight))
 
     def document(self, text: str | None) -> float:
         """Noisy-or over all sentences."""
         clean = 0.0
-        plain = float(np.log1p(-_sigmoid(self.base)))
-        known, weights = self.weights.keys(), self.weights
         for s in _SENTENCE.split((text or "").lower()):
-            if found := known & _WORD.findall(s):
-                clean += float(np.log1p(-min(_sigmoid(self.base + sum(weights[w] for w in sorted(found))), 1 - 1e-12)))
+            weight = self._weight(s)
+            if weight is not None:
+                clean += float(np.log1p(-min(_sigmoid(self.base + weight), 1 - 1e-12)))
             elif s and not s.isspace():
-                clean += plain
+                clean += PLAIN
         return float(-np.expm1(clean))
 
 
@@ -62,10 +84,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def vocabulary(bags: list[set[str]], y: np.ndarray, size: int) -> list[str]:
-    """Words whose documents differ most in label, by the log-likelihood ratio; ties by the word."""
+def vocabulary(texts: list[str], y: np.ndarray, size: int) -> list[str]:
+    """Features whose documents differ most in label, by the log-likelihood ratio; ties by the feature."""
     n, pos = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
+    for text, label in zip(texts, y, strict=True):
+        bag = parts(text.lower())
         n.update(bag)
         if label:
             pos.update(bag)
@@ -79,42 +102,38 @@ def vocabulary(bags: list[set[str]], y: np.ndarray, size: int) -> list[str]:
     expected = np.stack([c * share, c * (total - share), (total - c) * share, (total - c) * (total - share)]) / total
     gain = 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(0)
     order = np.argsort(-gain, kind="stable")[:size]
-    return [words[k] for k in order if gain[k] > 15]  # one in ten thousand words by chance
+    return [words[k] for k in order if gain[k] > 15]  # one in ten thousand by chance
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Maximise the likelihood of document labels under noisy-or by Adam steps."""
-    share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    docs = [[set(_WORD.findall(s.lower())) for s in sentences(t)] for t in texts]
-    words = vocabulary([set().union(*d) if d else set() for d in docs], y, WORDS)
+    """Maximise the likelihood of document labels under noisy-or by Adam steps.
+
+    The score of a sentence without known features is fixed and so small that it adds nothing
+    even in very long texts. Without labels of both kinds no feature has a weight.
+    """
+    words = vocabulary(texts, y, WORDS)
+    if not words:
+        return Model({})
     place = {w: k for k, w in enumerate(words)}
-    rows, cols, owner, plain = [], [], [], np.zeros(len(docs))
-    for k, bag in enumerate(docs):
-        for s in bag:
-            if found := place.keys() & s:
+    rows, cols, owner = [], [], []
+    for k, text in enumerate(texts):
+        for s in sentences(text.lower()):
+            if found := place.keys() & parts(s):
                 rows += [len(owner)] * len(found)
                 cols += sorted(place[w] for w in found)
                 owner.append(k)
-            else:
-                plain[k] += 1
-    per_document = max(1.0, float(np.mean([len(d) for d in docs]))) if docs else 1.0
-    base = float(np.log(share / per_document))
-    if not words:
-        return Model({}, base)
     rows, cols, owner = (np.array(x, np.int64) for x in (rows, cols, owner))
-    w = np.zeros(len(words) + 1)
-    w[-1] = base - 2
+    w = np.zeros(len(words) + 1)  # the last is common to all sentences with a known feature
+    w[-1] = -4
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = w[-1] + np.bincount(rows, w[cols], len(owner))
-        p, q = _sigmoid(np.clip(z, -30, 30)), _sigmoid(w[-1])
-        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)) + plain * np.log1p(-q)
-        toxic = np.maximum(-np.expm1(clean), 1e-9)
+        p = _sigmoid(np.clip(w[-1] + np.bincount(rows, w[cols], len(owner)), -30, 30))
+        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
+        toxic = np.maximum(-np.expm1(clean), 1e-6)
         # of the loss by log(1 - sentence score), for each document
         pull = np.where(y == 1, (1 - toxic) / toxic, -1.0)
         by_sentence = -pull[owner] * p
-        grad = np.bincount(cols, by_sentence[rows], len(words))
-        grad = np.r_[grad, by_sentence.sum() - (pull * plain).sum() * q] / len(docs) + RIDGE * np.r_[w[:-1], 0]
+        grad = np.r_[np.bincount(cols, by_sentence[rows], len(words)), by_sentence.sum()] / len(texts) + RIDGE * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]))
