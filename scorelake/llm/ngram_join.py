@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> in
     raise ValueError("too few trees for this recall")
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
 class Shingler:
     """Sorted 64-bit hashes of a text's different word n-grams; words are runs of no white space.
 
@@ -46,20 +55,13 @@ class Shingler:
     """
 
     def __init__(self, n: int = N):
-        import xxhash
-
-        self.n, self.words, self.hash = n, {}, xxhash.xxh3_64_intdigest
+        self.n, self.hash = n, _Hashes().__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.hash(w)
-        h = np.array([*map(known.__getitem__, words)], np.uint64)
+        h = np.array([*map(self.hash, words)], np.uint64)
         size = max(1, len(h) - self.n + 1)
         out = np.full(size, min(len(h), self.n), np.uint64)
         for k in range(min(self.n, len(h))):
