@@ -31,6 +31,11 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.withColumn("order_key", F.xxhash64(F.lit(seed), *(F.to_json(F.struct(c)) for c in df.columns)))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions for all that read them: range bounds are sampled, so they may differ between two runs of a plan."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def reindexed(df: DataFrame, order: list, name: str = "data_index") -> DataFrame:
     """Dense index from 0 in this order, in place of any there is.
 
@@ -39,7 +44,7 @@ def reindexed(df: DataFrame, order: list, name: str = "data_index") -> DataFrame
     """
     rest = df.drop(name) if name in df.columns and not any(str(o) == name for o in order) else df
     parted = rest.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    parted = parted.withColumn("__id", F.monotonically_increasing_id())
+    parted = pinned(parted.withColumn("__id", F.monotonically_increasing_id()))
     # ids count from the partition's number times 2^33
     inside = F.col("__id") - F.col("__part").cast("bigint") * (1 << 33)
     sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))
