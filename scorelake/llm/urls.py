@@ -42,9 +42,9 @@ def rule(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
-def suffix(h: Column) -> Column:
-    """The last two labels of a host."""
-    return F.regexp_extract(h, r"([^.]*\.?[^.]*)$", 1)
+def suffix(h: Column, labels: int) -> Column:
+    """The last labels of a host."""
+    return F.substring_index(h, ".", -labels)
 
 
 def entropy(s: Column) -> Column:
@@ -54,8 +54,12 @@ def entropy(s: Column) -> Column:
     ), F.lit(0.0)))
 
 
+#: Suffixes with statistics: of one label, and of two; those with so many labelled URLs, at most so many.
+SUFFIXES, SUFFIX_LEAST, SUFFIX_MOST = {"suffix": 1, "domain": 2}, 20, 500
+
+
 def features(url: Column, h: Column, p: Column, rates: dict[str, float], base: float) -> dict[str, Column]:
-    """Lexical features. rates: share of blocked URLs by host suffix."""
+    """Lexical features. rates: share of blocked URLs by host suffix, smoothed; base for those without."""
     u = F.coalesce(url, F.lit(""))
     stats = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]) if rates else None
     count = lambda s, pattern: F.regexp_count(s, F.lit(pattern)).cast("double")
@@ -72,8 +76,7 @@ def features(url: Column, h: Column, p: Column, rates: dict[str, float], base: f
         "parameters": F.when(u.contains("?"), count(F.regexp_extract(u, r"\?([^#]*)", 1), "[^&]+")).otherwise(0.0),
         "escapes": count(u, "%[0-9A-Fa-f]{2}"),
         "secure": F.lower(u).startswith("https://").cast("double"),
-        "suffix": F.coalesce(stats[suffix(h)], F.lit(base)) if stats is not None else F.lit(base),
-    }
+    } | {k: F.coalesce(stats[suffix(h, n)], F.lit(base)) if stats is not None else F.lit(base) for k, n in SUFFIXES.items()}
 
 
 @dataclass
@@ -138,16 +141,18 @@ def compiled(tree: Tree, x: list[Column], rate: float = RATE) -> Column:
 def classifier(labelled: DataFrame, sample: int = SAMPLE):
     """Fit to rows (key, url, y), of which at most ``sample`` are read; gives a function of url, host and path to the block probability."""
     some = labelled.where("url is not null and y is not null").orderBy(F.xxhash64("key", F.lit(5)), "url", "y").limit(sample)
-    some = some.select(host(F.col("url")).alias("h"), path(F.col("url")).alias("p"), "url", "y").select("*", suffix(F.col("h")).alias("end"))
-    plain = features(F.col("url"), F.col("h"), F.col("p"), {}, 0.5)
-    rows = some.select("y", "end", *(c.alias(k) for k, c in plain.items())).collect()
-    y = np.array([r["y"] for r in rows], float)
+    some = some.select(host(F.col("url")).alias("h"), path(F.col("url")).alias("p"), "url", "y")
+    plain = features(F.col("url"), F.col("h"), F.col("p"), {}, 0.5) | {k: suffix(F.col("h"), n) for k, n in SUFFIXES.items()}
+    rows = some.select(F.col("y").alias("label"), F.struct(*(c.alias(k) for k, c in plain.items())).alias("x")).collect()
+    y = np.array([r.label for r in rows], float)
     base = float(y.mean()) if len(y) else 0.5
     ends: dict[str, list[float]] = {}
     for r in rows:
-        ends.setdefault(r["end"], []).append(r["y"])
-    rates = {k: (sum(v) + 5 * base) / (len(v) + 5) for k, v in sorted(ends.items()) if len(v) >= 20}
-    x = np.array([[rates.get(r["end"], base) if k == "suffix" else r[k] for k in plain] for r in rows], float).reshape(len(rows), len(plain))
+        for end in {r.x[k] for k in SUFFIXES}:
+            ends.setdefault(end, []).append(r.label)
+    often = sorted((e for e in ends if len(ends[e]) >= SUFFIX_LEAST), key=lambda e: (-len(ends[e]), e))[:SUFFIX_MOST]
+    rates = {e: (sum(ends[e]) + 5 * base) / (len(ends[e]) + 5) for e in sorted(often)}
+    x = np.array([[rates.get(r.x[k], base) if k in SUFFIXES else r.x[k] for k in plain] for r in rows], float).reshape(len(rows), len(plain))
     start, trees = boost(x, y)
 
     def probability(columns: list[Column]) -> Column:

@@ -173,7 +173,7 @@ def test_trees_learn_from_labelled_urls(spark):
         rows.append((k, f"http://{name}.{'win' if bad and draw.random() < 0.5 else 'dev'}/" + "/".join(draw.choices(["a", "b"], k=draw.randint(1, 5))) + ("?a=1&b=2" if draw.random() < 0.3 else ""), bad))
     df = spark.createDataFrame(rows, "key bigint, url string, y int")
     rates, base, probability = urls.classifier(df.where("key < 1000"))
-    assert 0 < base < 1 and rates
+    assert 0 < base < 1 and set(rates) == {"win", "dev"}
     x = df.select("key", "url", "y", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
     f = urls.features(F.col("url"), F.col("host"), F.col("path"), rates, base)
     got = x.select("key", "y", probability([*f.values()]).alias("p")).where("key >= 1000").collect()
