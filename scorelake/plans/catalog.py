@@ -195,9 +195,9 @@ def q23_filter_all(spark, sf_dir):
     return rows.filter_all(table(spark, sf_dir, "documents"), [F.col("lang") == "en", F.col("n_chars") > 500]).select("doc_id", "lang", "n_chars")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 40 OFFSET 10")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 40 OFFSET 10")
 def q24_slice(spark, sf_dir):
-    return rows.sliced(table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"], 10, 40).select("doc_id", "n_chars")
+    return rows.sliced(table(spark, sf_dir, "documents"), ["doc_id"], 10, 40).select("doc_id", "n_chars")
 
 
 @query("SELECT doc_id, n_chars FROM documents")
@@ -211,10 +211,10 @@ def q26_reindex(spark, sf_dir):
 
 
 @query("""SELECT row_number() OVER (ORDER BY source_pos, id) - 1 AS data_index, source_pos, id FROM (SELECT 0::INTEGER AS source_pos, item_id AS id FROM benchmark
-  UNION ALL SELECT 1::INTEGER, doc_id FROM documents WHERE lang = 'de')""")
+  UNION ALL SELECT 1::INTEGER, doc_id FROM documents)""")
 def q27_multi_union(spark, sf_dir):
     one = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
-    two = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"))
+    two = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return rows.reindexed(rows.union_sources([one, None, two]), ["source_pos", "id"]).select("data_index", "source_pos", "id")
 
 

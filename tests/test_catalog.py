@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from scorelake.plans import catalog_io  # noqa: F401
 from scorelake.plans.catalog import ORACLE_SQL, QUERIES, flagship
 
 SF = "/root/testdata/sf0.001"
