@@ -8,6 +8,7 @@ are learned from labels of documents alone; sentence scores then tell where the
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from scorelake.llm.common import held_out, labelled_sample
 SAMPLE, WORDS = 8000, 600
 #: A feature needs so many training documents; stems are beginnings of words of these lengths.
 LEAST, STEMS = 4, (4, 5, 6)
+#: Least log-likelihood ratio of a feature (one in ten thousand has it by chance), and bits of hashes.
+GAIN, HASH_BITS = 15, 22
 STEPS, RATE, RIDGE = 500, 0.1, 1e-4
 #: Log-odds of a sentence without known features.
 BASE = -14.0
@@ -84,25 +87,42 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def _gain(n: np.ndarray, pos: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of features in n documents, pos of them with label 1."""
+    total, share, n, pos = len(y), float(y.sum()), n.astype(float), pos.astype(float)
+    table = np.stack([pos, n - pos, share - pos, total - n - share + pos])
+    expected = np.stack([n * share, n * (total - share), (total - n) * share, (total - n) * (total - share)]) / total
+    return 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(0)
+
+
 def vocabulary(texts: list[str], y: np.ndarray, size: int) -> list[str]:
-    """Features whose documents differ most in label, by the log-likelihood ratio; ties by the feature."""
-    n, pos = Counter(), Counter()
+    """Features whose documents differ most in label, by the log-likelihood ratio; ties by the feature.
+
+    A first pass counts hashes, in arrays of a fixed size; a second one counts the features whose hashes stand out.
+    """
+    if not 0 < y.sum() < len(y):
+        return []
+    n, pos = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+    code = lambda bag: np.fromiter((zlib.crc32(w.encode()) >> (32 - HASH_BITS) for w in bag), np.int64, len(bag))
+    for text, label in zip(texts, y, strict=True):
+        at = np.unique(code(parts(text.lower())))
+        n[at] += 1
+        pos[at] += int(label)
+    often = np.flatnonzero(n >= LEAST)
+    stand_out = np.zeros(1 << HASH_BITS, bool)
+    stand_out[often[_gain(n[often], pos[often], y) > GAIN / 2]] = True
+    exact, positive = Counter(), Counter()
     for text, label in zip(texts, y, strict=True):
-        bag = parts(text.lower())
-        n.update(bag)
+        bag = sorted(parts(text.lower()))
+        some = [bag[k] for k in np.flatnonzero(stand_out[code(bag)])]
+        exact.update(some)
         if label:
-            pos.update(bag)
-    words = sorted(w for w in n if n[w] >= LEAST)
-    if not words or not 0 < y.sum() < len(y):
+            positive.update(some)
+    words = sorted(w for w in exact if exact[w] >= LEAST)
+    if not words:
         return []
-    a = np.array([pos[w] for w in words], float)
-    c = np.array([n[w] for w in words], float)
-    total, share = len(y), y.sum()
-    table = np.stack([a, c - a, share - a, total - c - share + a])
-    expected = np.stack([c * share, c * (total - share), (total - c) * share, (total - c) * (total - share)]) / total
-    gain = 2 * (table * np.log(np.maximum(table, 1e-12) / np.maximum(expected, 1e-12))).sum(0)
-    order = np.argsort(-gain, kind="stable")[:size]
-    return [words[k] for k in order if gain[k] > 15]  # one in ten thousand by chance
+    gain = _gain(np.array([exact[w] for w in words]), np.array([positive[w] for w in words]), y)
+    return [words[k] for k in np.argsort(-gain, kind="stable")[:size] if gain[k] > GAIN]
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
