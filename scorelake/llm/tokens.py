@@ -9,7 +9,7 @@ from struct import Struct
 import numpy as np
 
 #: Words that a worker remembers at most, about 170 bytes each, in two generations.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: Characters that are one piece with their like and part of no contraction.
 MARKS = "!#$%&*+,./:;<=>?|"
 #: Below it lie Latin letters, which all versions of Unicode agree on.
