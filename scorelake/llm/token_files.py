@@ -87,19 +87,32 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int, leas
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), firsts
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Expansions:
+    """What each symbol stands for: sizes of all symbols, and where their ids are in one array."""
+
+    def __init__(self, rules: np.ndarray, firsts: np.ndarray, first_rule: int):
+        self.ids = np.arange(first_rule, dtype=np.uint16)
+        self.starts, self.sizes = np.arange(first_rule), np.ones(first_rule, np.int64)
+        for a, b in zip(firsts[:-1], firsts[1:], strict=True):  # rules of a round refer to earlier ones
+            sides = rules[a:b].astype(np.int64)
+            sizes = self.sizes[sides].sum(1)
+            more = self.ids[_ragged(self.starts[sides.ravel()], self.sizes[sides.ravel()])]
+            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+            self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, more]
+
+    def __call__(self, seq: np.ndarray) -> np.ndarray:
+        return self.ids[_ragged(self.starts[seq], self.sizes[seq])]
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, firsts: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids of a range of symbols."""
-    for k in range(len(firsts) - 2, -1, -1):
-        big = seq >= first_rule + firsts[k]
-        if not big.any():
-            continue
-        at = np.arange(len(seq)) + np.r_[0, np.cumsum(big)[:-1]]
-        out = np.empty(len(seq) + int(big.sum()), np.uint16)
-        pair = rules[seq[big].astype(np.int64) - first_rule]
-        out[at[~big]] = seq[~big]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    return Expansions(rules, firsts, first_rule)(seq)
 
 
 def encode_shard(docs: list[int], parts: list[bytes], first_rule: int, rounds: int, least: int) -> bytes:
@@ -139,10 +152,11 @@ class Shard:
         self.docs, self.starts, self.symbols = take("<i8", n), take("<i8", n + 1), take("<u4", n + 1)
         self.firsts, self.rules, self.lengths = take("<u4", rounds + 1), take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.seq = take("<u2", symbols)
+        self.expanded = Expansions(self.rules, self.firsts, self.first_rule)
 
     def document(self, k: int) -> np.ndarray:
         """Token ids of the k-th document, from its own symbols alone."""
-        return expand(self.seq[self.symbols[k] : self.symbols[k + 1]], self.rules, self.firsts, self.first_rule)
+        return self.expanded(self.seq[self.symbols[k] : self.symbols[k + 1]])
 
     def tokens(self, k: int, start: int, end: int) -> np.ndarray:
         """Token ids start..end of the k-th document; expansion lengths tell which symbols hold them."""
@@ -152,10 +166,10 @@ class Shard:
         ends = np.cumsum(sizes)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left") + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(seq[a:b], self.rules, self.firsts, self.first_rule)[start - skipped : end - skipped]
+        return self.expanded(seq[a:b])[start - skipped : end - skipped]
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.firsts, self.first_rule)
+        return self.expanded(self.seq)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = 1 << 20, rounds: int = 6, least: int = 4, vocabulary: int = 50257) -> None:
