@@ -126,6 +126,18 @@ def without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return tested.where("not __found").drop("__found").unionByName(rest).unionByName(one)
 
 
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join with a table of one row per key; rows of a key are dealt to SALTS tasks by the hash of ``by``.
+
+    A key that stays large has its own shuffle on both sides, which adaptive execution can split.
+    """
+    salted = unique.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, root), root the smallest id; only linked ids.
 
@@ -139,7 +151,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
             return now.selectExpr("a as id", "b as root").union(now.selectExpr("b as id", "b as root").distinct())
         both = now.union(now.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").selectExpr("b as a", "m as b").distinct()
+        large = spread_join(both, least, "a", "b").where("b > a").selectExpr("b as a", "m as b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("inline(array(struct(a, m as b), struct(b as a, m as b)))")
         now = small.where("a <> b").distinct()

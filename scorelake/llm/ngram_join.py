@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import components, id_filter, probably_in, without, written
+from scorelake.llm.common import components, id_filter, probably_in, spread_join, without, written
 
 N, THRESHOLD, RECALL = 5, (4, 5), 0.9999
 TREES, DEPTH = 24, 8
@@ -29,7 +29,7 @@ MEET_ROWS, VERIFY_ROWS = 1024, 256
 #: Share of equal MinHash values from which two texts look alike: 5 standard errors below 0.8.
 ALIKE = 0.65
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -176,7 +176,7 @@ def candidates(reps: DataFrame, trees: int, depth: int, prefix: int) -> DataFram
     label = lambda t: F.xxhash64(t, F.substring("signature", t * (2 * depth) + 1, F.lit(2 * prefix)))
     nodes = reps.select("rep_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), label)).alias("node"))
     shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    met = nodes.join(shared, "node").join(reps, "rep_id")
+    met = spread_join(nodes, shared, "node", "rep_id").join(reps, "rep_id")
     met = chunked(met, "node", "n", "rep_id", MEET_ROWS).select("block", "rep_id", "signature")
     met = met.repartition("block").sortWithinPartitions("block")
     return components(met.mapInArrow(_meet(ALIKE), "a bigint, b bigint"), "alike")
@@ -258,7 +258,7 @@ def similar(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD,
     reps = named.join(same.select(F.col("same").alias("__same"), "rep_id"), (F.col("doc_id") == F.col("rep_id")) & (F.col("same") == F.col("__same"))).select("rep_id", "signature")
     groups = candidates(reps, trees, depth, prefix)
     groups = written(groups, "groups")
-    members = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root")
+    members = spread_join(groups, groups.groupBy("root").agg(F.count("*").alias("n")), "root", "id")
     members = members.join(same.select(F.col("rep_id").alias("id"), "copies"), "id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null")
     texts = probably_in(texts, "id", id_filter(groups, "id"))
