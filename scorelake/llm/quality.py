@@ -38,18 +38,16 @@ def statistics(text: str | None) -> list[float]:
     n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     size, words = max(1, len(raw)), text.split()
     lines = [s for x in text.split("\n") if (s := x.strip())]
-    kinds = set(words)
+    kinds = Counter(words)
     w = max(1, len(words))
     letters = max(1, int(n[65:91].sum() + n[97:123].sum()))
     marks = int(n[33:48].sum() + n[58:65].sum() + n[91:97].sum() + n[123:127].sum())
     symbols = int(sum(n[ord(c)] for c in "#*$%&|<>"))
-    some = words[:: max(1, len(words) // 200)]
-    often = Counter(some)
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), len(text) / w, n[65:91].sum() / letters, n[48:58].sum() / size, symbols / size, marks / size,
         n[33] / w, n[124] / w, n[44] / w, n[46] / w, n[128:].sum() / size, n[32] / size, n[10] / size, len(kinds) / w, len(words) / max(1, len(lines)),
-        1 - len(set(lines)) / max(1, len(lines)), words.count(max(often, key=often.get)) / w if some else 0.0,
-        sum(x[:1].isupper() for x in some) / max(1, len(some)), sum(not x[-1:].isalnum() for x in some) / max(1, len(some)),
+        1 - len(set(lines)) / max(1, len(lines)), max(kinds.values(), default=0) / w,
+        sum(k for x, k in kinds.items() if x[:1].isupper()) / w, sum(k for x, k in kinds.items() if not x[-1:].isalnum()) / w,
     ]
 
 

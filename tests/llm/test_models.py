@@ -100,6 +100,12 @@ def test_rules_in_columns_equal_rules_in_numpy(corpus, labels):
     assert np.allclose([got[k] for k in range(400)], 1 / (1 + np.exp(-z)))
 
 
+def test_statistics_read_every_word_of_a_long_text():
+    words = [w for k in range(1000) for w in (f"a{k}", "Bb,")] + ["Cc"] * 500
+    got = dict(zip(quality.STATISTICS, quality.statistics(" ".join(words)), strict=True))
+    assert (got["common_word"], got["capitals"], got["marked"]) == (1000 / 2500, 1500 / 2500, 1000 / 2500)
+
+
 def test_lasso_is_sparse_and_optimal():
     draw = np.random.default_rng(2)
     z = (draw.random((500, 20)) < 0.4).astype(float)
