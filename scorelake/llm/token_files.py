@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +31,22 @@ MAGIC, VERSION = 0x52505452, 1
 END = 0
 #: A null doc_id in a shard; documents without an id come first.
 NO_ID = -(1 << 63)
+#: Rounds that share the room for rules when their number is free; later ones have what these left.
+BATCHES = 12
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Compress 16-bit ids. last: marks the last id of each document.
 
     Returns symbols, their ``last`` marks, rules as pairs, and the first rule of each round. A pair
     becomes a rule if it occurs ``least`` times or more; rounds end when there is none, when 16 bits
-    are full, or after ``rounds``.
+    are full, or after ``rounds`` if that isn't None.
     """
     seq, last = ids.astype(np.uint16), last.copy()
     rules: list[np.ndarray] = []
     firsts = [0]
     room = (1 << 16) - first_rule
-    for left in range(rounds, 0, -1):
+    for done in count() if rounds is None else range(rounds):
         if len(seq) < 2 or firsts[-1] >= room:
             break
         codes = seq[:-1].astype(np.uint32) << 16 | seq[1:]
@@ -55,7 +58,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int, leas
         counts = np.diff(np.r_[starts, len(ordered)])
         often = np.flatnonzero(counts >= least)
         # the most frequent pairs of this round; later rounds pair up the new symbols
-        quota = -(-(room - firsts[-1]) // left)
+        quota = -(-(room - firsts[-1]) // max(1, (BATCHES if rounds is None else rounds) - done))
         if len(often) > quota:
             often = often[np.argsort(-counts[often], kind="stable")[:quota]]
         if not len(often):
@@ -115,7 +118,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, firsts: np.ndarray, first_rule: i
     return Expansions(rules, firsts, first_rule)(seq)
 
 
-def encode_shard(docs: list[int], parts: list[bytes], first_rule: int, rounds: int, least: int) -> bytes:
+def encode_shard(docs: list[int], parts: list[bytes], first_rule: int, rounds: int | None, least: int) -> bytes:
     """docs: their ids; parts: their token ids as unsigned 32-bit bytes."""
     sizes = np.array([len(p) // 4 for p in parts], np.int64)
     ids = np.frombuffer(b"".join(parts), "<u4")
@@ -172,7 +175,7 @@ class Shard:
         return self.expanded(self.seq)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = 1 << 20, rounds: int = 6, least: int = 4, vocabulary: int = 50257) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = 1 << 20, rounds: int | None = None, least: int = 4, vocabulary: int = 50257) -> None:
     """Write the token ids of documents (doc_id, text), each with an end id, in order of doc_id.
 
     Null text counts as empty; documents without doc_id come first; of repeated ids each row is a

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -131,3 +131,14 @@ def test_repair_compresses():
         token_files.Shard(b"\0" * 40)
     with pytest.raises(ValueError):
         token_files.encode_shard([0], [np.array([60000], "<u4").tobytes()], 50257, 2, 2)
+
+
+def test_written_shards_leave_no_frequent_pair(make, tmp_path):
+    draw = random.Random(5)
+    passage = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(300))
+    docs = make([(k, f"{k} {passage}") for k in range(40)], parts=1)
+    token_files.write_shards(docs, str(tmp_path / "shards"))
+    for row in docs.sparkSession.read.parquet(str(tmp_path / "shards")).collect():
+        shard = token_files.Shard(row.data)
+        left = Counter(p for a, b in zip(shard.symbols, shard.symbols[1:], strict=False) for p in zip(shard.seq[a:b].tolist(), shard.seq[a + 1 : b].tolist(), strict=False))
+        assert max(left.values()) < 4 and len(shard.rules) < (1 << 16) - 50257
