@@ -1,10 +1,12 @@
-"""Similarity join of documents on word n-grams: MinHash LSH forest, then exact verification.
-
-Every text has ``trees`` labels of ``depth`` MinHash values. A tree is the prefix trie of its sorted
-labels; two texts meet in it at a prefix of k values with probability J^k. Matched prefixes are
-shortened from ``depth`` until the chance that a pair at the threshold meets in one of the trees
-reaches the target recall. Texts that meet compare whole signatures, and only a spanning forest of
-those that look alike leaves the task, so neither a trie node nor a group of copies gives all pairs.
+"""Similarity join of documents on word n-grams: MinHash labels in trees, then exact verification.
+
+Every text has ``trees`` labels of ``depth`` MinHash values. Two texts have
+equal prefixes of k values in a tree with probability J^k. The prefix has one fixed length, the
+longest at which the chance that a pair at the threshold meets in one of the trees reaches the
+target recall (5 of 8 by default). So this is LSH banding, by a hash of each prefix, and not an LSH
+forest: no labels are sorted and no trie is descended. A descent that goes on to that length for
+all texts meets the same pairs. The other values serve to compare signatures. Texts that meet compare whole signatures, and only a spanning forest of
+those that look alike leaves the task, so neither a prefix nor a group of copies gives all pairs.
 The forest's components hold all pairs to verify: inside each, word n-grams are compared exactly.
 Large nodes and components are cut into chunks, and each pair of chunks is a task of its own.
 """
