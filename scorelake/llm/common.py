@@ -1,4 +1,4 @@
-"""Shared pieces: written intermediate tables, bounded samples, id filters, components."""
+"""Shared pieces: written intermediate tables, bounded samples, id filters, spread aggregates, components."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bits of an id filter: a constant, so what is broadcast doesn't grow with the data.
-FILTER_BITS = 1 << 23
+#: Bits of an id filter: 16 for each id, but not fewer than the first nor more than the second (16 MB).
+FILTER_BITS = 1 << 23, 1 << 27
 _SLICE = 8 * 4096  # bits of one bitmap that bitmap_construct_agg builds
 
 
@@ -37,14 +38,54 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch()
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/scorelake/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path of this application's own in the shared folder; it goes with discard."""
+    _discard_at_exit()
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that read them can't be used any more.
+
+    Done at the end of the driver's program if its session is still active by then.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@cache
+def _discard_at_exit() -> None:
+    def end() -> None:
+        try:
+            spark = SparkSession.getActiveSession()
+            if spark is not None:
+                discard(spark)
+        except Exception:  # the session has ended before
+            pass
+
+    atexit.register(end)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/scorelake/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, with as many underscores after it as make it no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,67 +116,105 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
     return rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "y").limit(limit)
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+@dataclass
+class IdFilter:
+    """A bitmap over hashes, in slices of 4 KB: rows (s, bits)."""
 
+    rows: DataFrame
+    size: int
 
-def id_filter(ids: DataFrame, key: str) -> DataFrame:
-    """A bitmap of FILTER_BITS bits over the hashes of ids[key], in slices of 4 KB.
+    def bit(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.size))
 
-    It is at most FILTER_BITS / 8 bytes, so it can be broadcast whatever the data's size; when it
-    is full it lets all rows through, and an exact join must follow anyway.
+
+def id_filter(ids: DataFrame, key: str) -> IdFilter:
+    """A filter over ids[key], which is counted first: best a written table.
+
+    It grows with the ids up to 16 MB and so can be broadcast whatever the data's size; when it is
+    full it lets all rows through, and an exact join must follow anyway.
     """
-    rows = ids.select(_bit(F.col(key)).alias("bit"))
-    sliced = rows.groupBy(F.floor(F.col("bit") / _SLICE).alias("__slice"))
-    return sliced.agg(F.bitmap_construct_agg(F.col("bit") % _SLICE).alias("__bits"))
+    least, most = FILTER_BITS
+    out = IdFilter(ids, min(most, max(least, 1 << (16 * ids.count()).bit_length())))
+    rows = ids.select(out.bit(F.col(f"`{key}`")).alias("bit"))
+    out.rows = rows.groupBy(F.floor(F.col("bit") / _SLICE).alias("s")).agg(F.bitmap_construct_agg(F.col("bit") % _SLICE).alias("bits"))
+    return out
 
 
-def _tested(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    bit = _bit(F.col(f"`{key}`"))
-    byte = F.conv(F.hex(F.substring("__bits", (bit % _SLICE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = df.join(F.broadcast(bitmap), F.floor(bit / _SLICE) == F.col("__slice"), "left")
-    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("__found", found).drop("__slice", "__bits")
+def _tested(df: DataFrame, key: str, ids: IdFilter, found: str) -> DataFrame:
+    """df with a column ``found``: whether its key may be among the filter's ids."""
+    slices, bits = fresh("slice", df), fresh("bits", df)
+    bit = ids.bit(F.col(f"`{key}`"))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (bit % _SLICE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bitmap = ids.rows.select(F.col("s").alias(slices), F.col("bits").alias(bits))
+    joined = df.join(F.broadcast(bitmap), F.floor(bit / _SLICE) == F.col(slices), "left")
+    return joined.withColumn(found, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(slices, bits)
 
 
-def probably_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+def probably_in(df: DataFrame, key: str, ids: IdFilter) -> DataFrame:
     """Rows whose key may be among the filter's ids."""
-    return _tested(df, key, bitmap).where("__found").drop("__found")
+    found = fresh("found", df)
+    return _tested(df, key, ids, found).where(F.col(found)).drop(found)
 
 
-def without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """Documents without those that ``rows`` (doc_id, kept) drops; all columns of docs.
+def without(docs: DataFrame, rows: DataFrame, mark: Column, name: str) -> DataFrame:
+    """Documents without those that ``rows`` (doc_id, mark, kept) drops; all columns of docs.
 
-    Whole texts aren't shuffled, but for those of dropped ids and of a few that share their place
-    in an id filter. Documents without doc_id stay. If an id has a row that stays and others that
-    go, one document with this id stays.
+    mark is an expression over docs that tells texts of one doc_id apart. Whole texts aren't
+    shuffled, but for those of dropped ids and of a few that share their place in an id filter.
+    Documents without doc_id stay. Of an id with rows that go, those whose mark is kept stay, one of each.
     """
-    marks = rows.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all"))
-    marks = written(marks.where("not `all`").withColumnRenamed("doc_id", "__id"), name)
-    gone, twice = marks.where("not any").select("__id"), marks.where("any").select("__id")
-    tested = _tested(docs, "doc_id", id_filter(gone, "__id"))
-    left = tested.where("not __found").drop("__found").unionByName(
-        tested.where("__found").drop("__found").join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    )
-    if twice.isEmpty():
-        return left
-    tested = _tested(left, "doc_id", id_filter(twice, "__id"))
-    maybe = tested.where("__found").drop("__found")
-    one = maybe.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    rest = maybe.join(twice, F.col("doc_id") == F.col("__id"), "left_anti")
-    return tested.where("not __found").drop("__found").unionByName(rest).unionByName(one)
+    gone = rows.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("all"))
+    gone = written(gone.where("not `all`").select("doc_id"), f"{name}_gone")
+    found, own, id_, m = fresh("found", docs), fresh("mark", docs), fresh("kept_id", docs), fresh("kept_mark", docs)
+    tested = _tested(docs, "doc_id", id_filter(gone, "doc_id"), found)
+    marked = tested.where(F.col(found)).withColumn(own, mark)
+    gone = gone.select(F.col("doc_id").alias(id_))
+    other = marked.join(gone, F.col("doc_id") == F.col(id_), "left_anti")
+    left = tested.where(~F.col(found)).unionByName(other.drop(own))
+    # ids of which some rows stay: few, only repeated ids can be
+    some = rows.where("kept").join(gone, F.col("doc_id") == F.col(id_), "left_semi").select("doc_id", "mark").distinct()
+    some = written(some, f"{name}_some")
+    if not some.isEmpty():
+        some = some.select(F.col("doc_id").alias(id_), F.col("mark").alias(m))
+        one = marked.join(some, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(m)), "left_semi")
+        left = left.unionByName(one.dropDuplicates(["doc_id", own]).drop(own))
+    return left.drop(found)
+
+
+#: Tasks over which the rows of one key are spread at most.
+SALTS = 256
+
+
+def with_totals(rows: DataFrame, key: str, by: str, partial: list[Column], total: list[Column]) -> DataFrame:
+    """rows with aggregates of their key: ``partial`` ones by key and salt of ``by``, and ``total`` over these by key.
+
+    No task holds more than a key's share of one of SALTS salts, or its SALTS partial rows.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(*partial)
+    known = parts.select(key, "salt").join(parts.groupBy(key).agg(*total).hint("merge"), key)
+    return salted.join(known.hint("merge"), [key, "salt"]).drop("salt")
 
 
-SALTS = 16
+#: Rows of a key from which it is spread when it is joined.
+HOT = 65_536
 
 
-def spread_join(rows: DataFrame, unique: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join with a table of one row per key; rows of a key are dealt to SALTS tasks by the hash of ``by``.
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, by: str, count: str) -> DataFrame:
+    """Left join with a table of one row per key, which knows how many rows the key has; best a written table.
 
-    A key that stays large has its own shuffle on both sides, which adaptive execution can split.
+    Rows of keys with more than HOT rows are dealt to SALTS tasks by the hash of ``by``; both
+    sides learn from an id filter which keys these are, so that only their rows are repeated.
     """
-    salted = unique.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "__salt"]).drop("__salt")
+    hot = unique.where(F.col(count) > HOT).select(key)
+    if hot.isEmpty():
+        return rows.join(unique, key, "left")
+    hot = id_filter(hot, key)
+    salt = F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")
+    left = _tested(rows, key, hot, "hot").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = _tested(unique, key, hot, "hot").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [key, "salt"], "left").drop("salt")
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
@@ -144,16 +223,15 @@ def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
     Alternates large-star and small-star steps, each a few shuffles over the edges; the rounds are
     written tables, so lost executors cost one round at most. Raises if the rounds don't suffice.
     """
+    least = [F.min("b").alias("p")], [F.min("p").alias("m")]
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(max_rounds):
         now = written(now, name)
         if _stars(now):
             return now.selectExpr("a as id", "b as root").union(now.selectExpr("b as id", "b as root").distinct())
         both = now.union(now.selectExpr("b as a", "a as b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = spread_join(both, least, "a", "b").where("b > a").selectExpr("b as a", "m as b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("inline(array(struct(a, m as b), struct(b as a, m as b)))")
+        large = with_totals(both, "a", "b", *least).where("b > a").selectExpr("b as a", "least(m, a) as b").distinct()
+        small = with_totals(large, "a", "b", *least).selectExpr("inline(array(struct(a, m as b), struct(b as a, m as b)))")
         now = small.where("a <> b").distinct()
     raise RuntimeError(f"components of {name}: no fixed point in {max_rounds} rounds")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import WORD, written
+from scorelake.llm.common import WORD, fresh, written
 
 WEIGHTS = (5, 2, 1)
 #: A source's target is at most so many times its size.
@@ -101,9 +101,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     """The mix as rows of docs with all their columns, each as often as it is taken; see mix.
 
     Taken rows are told by source and hash, so texts aren't shuffled: a row per source is joined.
+    An empty table gives no rows; columns of docs may have any names.
     """
-    known = plan(docs, weights, repeats)[1]
-    out = docs.withColumn("__hash", id_hash(F.col("doc_id"))).join(known, F.col("source").eqNullSafe(F.col("__source")))
-    copies = (F.col("__whole") + (F.col("__hash") < F.col("__bound")).cast("bigint")).cast("int")
-    out = out.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [fresh(f"mix_{c}", docs) for c in ("source", "whole", "bound", "copy")]
+    source, whole, bound, copy = names
+    known = plan(docs, weights, repeats)[1].select(F.col("__source").alias(source), F.col("__whole").alias(whole), F.col("__bound").alias(bound))
+    out = docs.join(known, F.col("source").eqNullSafe(F.col(source)))
+    copies = (F.col(whole) + (id_hash(F.col("doc_id")) < F.col(bound)).cast("bigint")).cast("int")
+    return out.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop(*names)

@@ -5,7 +5,9 @@ histogram of at most ``capacity`` rows. For one bin after another, a subset-sum
 bitsets finds the fullest combination of available lengths that holds the longest one; the
 combination is then taken as often as the histogram allows. Each such step leaves one length with
 less than half of its remainder or fewer than one use, so a plan has a few thousand lines whatever
-the corpus's size. Pieces find their place by their rank among those of the same length.
+the corpus's size. Pieces find their place by their rank among those of the same length: they are sorted
+by length over the tasks, and only counts by task and length, a row for each task and length more than there
+are lengths, go through the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import written
@@ -24,6 +26,8 @@ from scorelake.llm.tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
 END = 0
+#: Words that a worker remembers: fewer than elsewhere, as other operators' workers may be alive beside it.
+REMEMBERED = 300_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -83,19 +87,17 @@ def _cut(ids: bytes, capacity: int) -> Iterator[tuple[int, bytes]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
-    """Pieces with their rank among those of the same length from the same task."""
+    """Pieces with the number of their task and their own in it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        ranks = np.zeros(capacity + 1, np.int64)
+        code, task, nth = encoder(tokenizer, REMEMBERED).encode, TaskContext.get().partitionId(), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, (start, ids) in enumerate(_cut(code(text.as_py() or "") + end, capacity)):
-                    n = len(ids) // 4
-                    rows.append((doc, k, start, n, zlib.crc32(ids), task, ranks[n]))
-                    ranks[n] += 1
+                    rows.append((doc, k, start, len(ids) // 4, zlib.crc32(ids), task, nth))
+                    nth += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
@@ -105,37 +107,62 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, schema)
 
 
+_KEPT = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def ranked(cut: DataFrame) -> DataFrame:
+    """Pieces sorted by length over the tasks, with their part of the order and their rank among those of their length there."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, seen = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            n = batch.column("length").to_numpy()
+            if not len(n):
+                continue
+            starts = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+            rank = np.arange(len(n)) - np.repeat(starts, np.diff(np.r_[starts, len(n)]))
+            if n[0] == at:  # the length goes on from the batch before
+                rank[n == at] += seen
+            at, seen = n[-1], rank[-1] + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], [*_KEPT, "part", "rank"])
+
+    ordered = cut.repartitionByRange("length", "task", "nth").sortWithinPartitions("length", "task", "nth").select(*_KEPT)
+    return ordered.mapInArrow(number, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece. A null or
-    empty text is its end id alone. Rows with a null or repeated doc_id are packed like any other,
+    empty text is its end id alone; a text of any length is cut as a whole. Rows with a null or repeated doc_id are packed like any other,
     each on its own. An empty table gives no rows. Other columns of docs aren't looked at.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer or vocabulary_path(), capacity), "pieces")
-    by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_task.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = written(bases, "piece_ranks")
-    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = written(ranked(cut), "ranked_pieces")
+    # a row per part and length: lengths are sorted over the parts, so at most parts + lengths
+    counts = sorted((r["length"], r["part"], r["n"]) for r in rows.groupBy("part", "length").agg(F.count("*").alias("n")).collect())
+    histogram: dict[int, int] = {}
+    bases = []
+    for n, part, many in counts:
+        bases.append((n, part, histogram.get(n, 0)))
+        histogram[n] = histogram.get(n, 0) + many
     lines = np.array(plan(histogram, capacity), np.int64).reshape(-1, 6)
-    shared = spark.sparkContext.broadcast(lines)
+    if len(lines) and lines[:, 2].max() >= 1 << 50:
+        raise ValueError("too many pieces of one length")
+    shared = spark.sparkContext.broadcast((lines, np.array(bases, np.int64).reshape(-1, 3)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, _, uses, sequence, offset = shared.value.T
-        span = int(lines_rank) + 1
-        key = length * span + first
+        lines, bases = shared.value
+        length, first, _, uses, sequence, offset = lines.T
+        span, parts = int(lines[:, 2].max(initial=0)) + 1, int(bases[:, 1].max(initial=0)) + 1
+        key, base_key = length * span + first, bases[:, 0] * parts + bases[:, 1]
         for batch in batches:
-            n, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            n, part = batch.column("length").to_numpy(), batch.column("part").to_numpy().astype(np.int64)
+            rank = batch.column("rank").to_numpy() + bases[np.searchsorted(base_key, n * parts + part), 2]
             at = np.searchsorted(key, n * span + rank, "right") - 1
             nth = rank - first[at]
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence[at] + nth // uses[at]), pa.array(offset[at] + nth % uses[at] * n)], out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(sequence[at] + nth // uses[at]), pa.array(offset[at] + nth % uses[at] * n)], out)
 
-    lines_rank = lines[:, 2].max() if len(lines) else 0
-    if lines_rank >= 1 << 50:
-        raise ValueError("too many pieces of one length")
-    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    ranked = cut.join(bases.drop("n"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    out = [*_KEPT, "sequence_id", "offset"]
+    return rows.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

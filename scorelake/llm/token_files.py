@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import scratch_dir
+from scorelake.llm.common import scratch_path
 from scorelake.llm.tokens import encoder, vocabulary_path
 
 MAGIC, VERSION = 0x52505452, 1
@@ -33,6 +33,10 @@ END = 0
 NO_ID = -(1 << 63)
 #: Rounds that share the room for rules when their number is free; later ones have what these left.
 BATCHES = 12
+#: Bits of the hashes by which a round finds its pairs.
+HASH_BITS = 20
+#: In place of a pair that spans two documents.
+NO_PAIR = np.uint32(0xFFFFFFFF)
 
 
 def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -42,21 +46,22 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | Non
     becomes a rule if it occurs ``least`` times or more; rounds end when there is none, when 16 bits
     are full, or after ``rounds`` if that isn't None.
     """
-    seq, last = ids.astype(np.uint16), last.copy()
+    seq, ends = ids.astype(np.uint16), np.flatnonzero(last)
     rules: list[np.ndarray] = []
     firsts = [0]
     room = (1 << 16) - first_rule
+    slot = np.zeros(1 << HASH_BITS, np.uint16)  # by hash: the place of a pair among those of the round, plus 1
     for done in count() if rounds is None else range(rounds):
         if len(seq) < 2 or firsts[-1] >= room:
             break
         codes = seq[:-1].astype(np.uint32) << 16 | seq[1:]
-        free = ~last[:-1]
-        ordered = np.sort(codes[free])
-        if not len(ordered):
-            break
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[starts, len(ordered)])
+        codes[ends[:-1]] = NO_PAIR
+        ordered = np.sort(codes)
+        starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        starts = np.r_[0, starts, len(ordered)]
+        counts = np.diff(starts)
         often = np.flatnonzero(counts >= least)
+        often = often[ordered[starts[often]] != NO_PAIR]
         # the most frequent pairs of this round; later rounds pair up the new symbols
         quota = -(-(room - firsts[-1]) // max(1, (BATCHES if rounds is None else rounds) - done))
         if len(often) > quota:
@@ -64,32 +69,36 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | Non
         if not len(often):
             break
         pairs = np.sort(ordered[starts[often]])
-        slot = np.zeros(1 << 20, np.uint16)  # by hash: the place of a pair among pairs, plus 1
-        hashes = (pairs * np.uint32(2654435769)) >> np.uint32(12)
-        slot[hashes] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
-        pairs = pairs[slot[hashes] == np.arange(1, len(pairs) + 1)]  # of pairs with one hash the last stays
         slot[:] = 0
-        hashes = (pairs * np.uint32(2654435769)) >> np.uint32(12)
-        slot[hashes] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
-        at = slot[(codes * np.uint32(2654435769)) >> np.uint32(12)]
-        hit = (at > 0) & free
-        hit[hit] = pairs[at[hit] - 1] == codes[hit]
+        slot[_hashed(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
+        pairs = pairs[slot[_hashed(pairs)] == np.arange(1, len(pairs) + 1)]  # of pairs with one hash the last stays
+        slot[:] = 0
+        slot[_hashed(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
+        at = slot[_hashed(codes)]
+        where = np.flatnonzero(at)
+        at = at[where].astype(np.int64) - 1
+        hit = pairs[at] == codes[where]
+        where, at = where[hit], at[hit]
         # of overlapping pairs every other one is replaced, from the left
-        where = np.flatnonzero(hit)
-        if not len(where):
-            break
         run = np.maximum.accumulate(np.where(np.r_[True, np.diff(where) > 1], np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run) % 2 == 0]
-        seq[where] = first_rule + firsts[-1] + at[where] - 1
-        last[where] = last[where + 1]
+        some = (np.arange(len(where)) - run) % 2 == 0
+        where, at = where[some], at[some]
+        seq[where] = first_rule + firsts[-1] + at
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq = seq.compress(keep)
+        ends = ends - np.searchsorted(where + 1, ends, "right")  # an end that goes gives way to its pair
         rules.append(np.stack([pairs >> 16, pairs & 0xFFFF], 1).astype(np.uint16))
         firsts.append(firsts[-1] + len(pairs))
+    last = np.zeros(len(seq), bool)
+    last[ends] = True
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), firsts
 
 
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(2654435769)) >> np.uint32(32 - HASH_BITS)
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
     ends = np.cumsum(sizes)
@@ -179,7 +188,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     """Write the token ids of documents (doc_id, text), each with an end id, in order of doc_id.
 
     Null text counts as empty; documents without doc_id come first; of repeated ids each row is a
-    document. A shard ends with the document that brings it to ``shard_tokens``.
+    document. A shard ends with the document that brings it to ``shard_tokens``, and a longer
+    text makes a longer shard. An empty table gives no shards; other columns aren't looked at.
     """
     tokenizer = tokenizer or vocabulary_path()
 
@@ -208,7 +218,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Decode all documents: rows (doc_id, start, n_tokens, ids_crc32, shard_bytes)."""
+    """Decode all documents: rows (doc_id, start, n_tokens, ids_crc32); none without shards."""
     shards = spark.read.schema("part int, shard int, tokens bigint, data binary").parquet(path)
     sizes = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote
@@ -243,9 +253,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, **how) -> DataFrame:
-    """Write documents and decode them from the files."""
-    import uuid
-
-    path = path or f"{scratch_dir(docs.sparkSession)}/scorelake/tokens-{uuid.uuid4().hex}"
+    """Write documents and decode them from the files; an empty table gives no rows. See write_shards and read_shards."""
+    path = path or scratch_path(docs.sparkSession, "tokens")
     write_shards(docs, path, tokenizer, **how)
     return read_shards(docs.sparkSession, path)

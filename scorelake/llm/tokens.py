@@ -8,7 +8,7 @@ from struct import Struct
 
 import numpy as np
 
-#: Words that a worker remembers at most, about 170 bytes each, in two generations.
+#: Words that an encoder remembers at most, about 170 bytes each, in two generations.
 REMEMBERED = 900_000
 #: Characters that are one piece with their like and part of no contraction.
 MARKS = "!#$%&*+,./:;<=>?|"
@@ -18,7 +18,7 @@ _PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 class _Runs(Exception):
-    """The text has white space that mustn't be cut."""
+    """The text has white space that mustn't be cut, or an added token."""
 
 
 def _packed(tokens: list) -> bytes:
@@ -31,7 +31,7 @@ class _Words(dict):
 
     def __init__(self, coder: "Encoder", lead: str):
         super().__init__()
-        self.coder, self.lead, self.before = coder, lead, {}
+        self.coder, self.lead, self.before, self.most = coder, lead, {}, coder.remembered // 2
         self.sign = coder.space if lead else ""
 
     def __missing__(self, word: str) -> bytes:
@@ -46,7 +46,7 @@ class _Words(dict):
                 raise _Runs
             else:
                 ids = self.coder.pieces(self.lead + word)
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
         self[word] = ids
@@ -71,16 +71,17 @@ class Encoder:
     The library splits a text into pieces and its model merges each piece on its own. No piece
     reaches over a newline or a single space that has characters on both sides, except that the
     space begins the next piece. So texts are cut there, and the library works on each different
-    word once. Texts with other white space at a cut go through the library whole. Equality with
-    the library is tested on texts of random characters.
+    word once. Texts with other white space at a cut, or with one of the file's added tokens anywhere,
+    go through the library whole. Equality with the library is tested on texts of random characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole, self.remembered = Tokenizer.from_file(path), remembered
+        #: Tokens that the file adds to the model's: the library finds them in a text before it makes pieces.
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model
         self.piece = lru_cache(100_000)(lambda piece: _packed(self.model.tokenize(piece)))
         self.bytes, self.space = _Bytes(self.split), self.split(" ")[0][0]
@@ -96,6 +97,8 @@ class Encoder:
             return b""
         first, rest = self.first, self.rest.__getitem__
         try:
+            if any(t in text for t in self.added):
+                raise _Runs
             lines = []
             for line in text.split("\n"):
                 head, *words = line.split(" ")
@@ -106,8 +109,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

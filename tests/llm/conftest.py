@@ -7,7 +7,10 @@ os.environ["PYTHONPATH"] = os.path.dirname(os.path.abspath(__file__)) + os.paths
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns of a caller's own, with names that operators use inside.
-EXTRA = ("size", "hash", "row", "kept", "run", "digest", "score", "id", "root", "a", "b", "n", "y", "h", "p", "rep_id", "copies", "node", "block", "piece", "rank", "s", "target")
+EXTRA = (
+    "size", "hash", "row", "kept", "run", "digest", "score", "id", "root", "a", "b", "n", "y", "h", "p", "rep_id", "copies", "node", "block", "piece", "rank", "s", "target",
+    "slice", "bits", "found", "mark", "kept_id", "kept_mark", "salt", "mix_source", "mix_whole", "mix_bound", "mix_copy", "__hash", "__copy", "__slice", "__id", "__found", "length", "base", "at", "part", "task",
+)
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import defaultdict
@@ -10,6 +11,9 @@ from scorelake.llm import dedup, ngram_join
 from scorelake.llm.common import components, id_filter, probably_in
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
@@ -52,6 +56,34 @@ def test_exact_groups_of_odd_rows(odd, none):
     assert dedup.exact_groups(none).count() == 0
 
 
+def test_repeated_ids_with_other_texts(make):
+    for rows in ([(5, "X"), (5, "Y"), (9, "X"), (7, "Y")], [(5, "Y"), (5, "X"), (7, "Y"), (9, "X")]):
+        for memtable in ({}, {"rows": 1}):
+            got = sorted(tuple(r)[:4] for r in dedup.exact_groups(make(rows, parts=4), **memtable).collect())
+            assert got == [(5, 5, 2, True), (5, 5, 2, True), (7, 5, 2, False), (9, 5, 2, False)]
+    # the copy goes, the other text with its id stays
+    out = dedup.exact_dedup(make([(1, "A"), (6, "A"), (6, "B"), (6, "B")], parts=4))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "A"), (6, "B")]
+
+
+def test_compaction_in_tiers_and_a_hot_digest(make, monkeypatch):
+    monkeypatch.setattr(dedup, "COMPARED", 4)
+    rows = [(k, "hot text" if k % 3 else f"text {k % 40}") for k in range(200)] + [(None, "hot text"), (None, "lost"), (None, "lost")]
+    docs = make(rows, parts=6)
+    segments = dedup.runs(docs, 2, dedup.sha256, rows=3).where("bucket is not null").cache()
+    merged = dedup.compacted(segments, fan_in=4).collect()
+    assert segments.select("run").distinct().count() > 60 and sorted(r.bucket for r in merged) == [0, 1]
+    want = groups_of(docs.collect())
+    assert sum(r.n for r in merged) == len(want)
+    found = dedup.exact_groups(docs, buckets=2, fan_in=4, rows=3).collect()
+    size = {norm(t): len(ids) for t, ids in want.items()}
+    texts = {hashlib.sha256(t.encode()).digest(): t for t in size}
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(want)
+    for r in found:
+        ids = want[texts[bytes(r.digest)]]
+        assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
+
+
 def test_exact_dedup_keeps_columns_and_one_of_repeated_rows(odd, make, none):
     out = dedup.exact_dedup(odd)
     assert out.columns == odd.columns
@@ -166,6 +198,80 @@ def test_join_of_odd_rows(odd, none):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    assert ngram_join.prefix_length(0.8, 24, 8, 0.9999) == 5 and ngram_join.prefix_length(0.8, 24, 8, 0.9) == 8
+    import numpy as np
+
+    # texts in 24 trees: one alone, one in a crowd of 40 in some trees, one in crowds of thousands in all
+    sizes = np.array([[1, 1, 1, 1, 1]] * 24 + [[40, 30, 20, 9, 5]] * 14 + [[300, 200, 90, 60, 50]] * 10 + [[9000, 8000, 7000, 5000, 3000]] * 12 + [[3000, 2000, 900, 600, 30]] * 12)
+    starts = np.array([0, 24, 48])
+    k, limit = ngram_join.shortened(sizes, starts, 24, 8, 4, 0.8, 0.9999)
+    assert set(k[:24]) == {4} and limit[0] == ngram_join.CROWD
+    assert set(k[24:38]) == {4} and set(k[38:48]) == {7} and limit[1] == ngram_join.CROWD
+    assert limit[2] == 7000 and set(k[48:60]) == {6} and set(k[60:]) == {4}
+    for a in starts:
+        assert 1 - np.prod(1 - 0.8 ** k[a : a + 24]) >= 0.9999
+    # with a lower recall the same text keeps longer prefixes
+    assert ngram_join.shortened(sizes, starts, 24, 8, 4, 0.8, 0.9)[0][48:].sum() > k[48:].sum()
     with pytest.raises(ValueError):
-        ngram_join.prefix_length(0.1, 2, 8, 0.9999)
+        ngram_join.shortened(sizes[:2], np.array([0]), 2, 8, 4, 0.1, 0.9999)
+
+
+def test_sorted_tries_count_what_shares_a_prefix(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "TRIE_ROWS", 100)
+    draw = random.Random(8)
+    rows = [(k, b"".join(draw.choices([b"ab", b"cd"], weights=[4, 1], k=8 * 3))) for k in range(150)]
+    reps = spark.createDataFrame(rows, "rep bigint, signature binary")
+    tries = ngram_join.tries(reps, 3, 8, 4).cache()
+    assert tries.select("part").distinct().count() > 2
+    across = ngram_join._across(tries, 8, 4)
+    want = defaultdict(int)
+    for _, s in rows:
+        for t in range(3):
+            for k in range(4, 9):
+                want[t, s[16 * t : 16 * t + 2 * k]] += 1
+    seen = {(r.rep, r.tree) for r in tries.collect()}
+    assert len(seen) == tries.count() and {(i, t) for i, s in rows for t in range(3) if want[t, s[16 * t : 16 * t + 8]] > 1} <= seen
+    for r in tries.collect():
+        for at, n in enumerate(r.sizes):
+            prefix = bytes(r.label)[: 2 * (4 + at)]
+            assert across.get((r.tree, prefix), n) == want[r.tree, prefix]
+    # texts in the same node share its prefix, and all of a node have the same one
+    chosen = ngram_join.prefixes(tries, 3, 8, 4, 0.8, 0.5)
+    nodes = ngram_join.nodes(chosen, 8, 4).collect()
+    by = defaultdict(set)
+    for r in nodes:
+        by[r.node].add(r.rep)
+    assert all(len(by[r.node]) == r.n for r in nodes) and nodes
+    assert np.mean([r.n for r in nodes]) > 2
+
+
+def test_texts_below_a_node_that_a_crowded_text_needs_come_along(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    docs = near_copies(11, 6, 40, 90)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar(make([*docs.items()])).collect()}
+    assert got == brute(docs)
+
+
+def test_repeated_ids_with_other_texts_keep_their_links(make):
+    docs = near_copies(12, 3, 1, 80)
+    a, b, c = docs[0], docs[1], docs[2]
+    rows = make([(1, a), (1, b), (1, b), (2, b + " tail"), (3, a + " end"), (4, c)], parts=4)
+    got = sorted((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in ngram_join.similar(rows).collect())
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 2, 2), (3, 1, 3, 1), (4, 4, 4, 0)]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.near_dedup(rows).collect())
+    assert kept == sorted([(1, a), (1, b), (4, c)])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_recall_on_driver_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").where(F.col("text").isNotNull()).collect()}
+    want = brute({i: t for i, t in texts.items() if shingles(t)})
+    links, found = sum(n for _, n in want.values()), sum(min(n, got[i][1]) for i, (_, n) in want.items())
+    assert links > 50 and found >= 0.99 * links
+    assert all(got[i][1] <= n for i, (_, n) in want.items())
+    assert sum(got[i] == w for i, w in want.items()) >= 0.99 * len(want)

@@ -9,21 +9,36 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scorelake.llm import packing, token_files
-from scorelake.llm.tokens import encoder, vocabulary_path
+from scorelake.llm.tokens import Encoder, encoder, vocabulary_path
+
+#: As the library gives it, without any setting.
+LIBRARY = Tokenizer.from_file(vocabulary_path())
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from([*" \n\t\r\x0b\x85　\xa0ab.,!'s1é漢_<|>", "<|endoftext|>"]), max_size=14).map("".join) | st.text(max_size=30))
 def test_words_give_the_same_ids_as_whole_texts(text):
-    coder = encoder(vocabulary_path())
-    assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>a b", "ab<|endoftext|>cd <|endoftext|>", "one\n<|endoftext|>\ntwo", "<|endoftext <|endoftext|", "x <|endoftext|><|endoftext|> y"])
+def test_added_tokens_have_the_librarys_ids(text):
+    ids = np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist()
+    assert ids == LIBRARY.encode(text, add_special_tokens=False).ids and ids.count(50256) == text.count("<|endoftext|>")
+
+
+def test_words_are_forgotten_beyond_the_bound():
+    coder = Encoder(vocabulary_path(), remembered=20)
+    for k in range(100):
+        text = f"word{k} other{k % 7} same"
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(coder.rest) + len(coder.rest.before) <= 20
 
 
 def check_packing(rows, docs, plain, capacity):
@@ -55,6 +70,26 @@ def test_pack_against_the_library(make, plain):
     assert used <= -(-sum(len(plain(t)) for t in docs.values()) // 2048) + 1
 
 
+def test_ranks_go_on_over_batches_and_parts(spark, make):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = packing.pack(make([(k, "x " * (k % 3)) for k in range(300)], parts=9), capacity=8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 300
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 8
+    assert len(bins) == -(-sum(r.length for r in rows) // 8)
+
+
 def test_pack_of_odd_rows(odd, none, plain):
     rows = packing.pack(odd).collect()
     texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id not in (None, 6)}
