@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tasks that a bounded sample is dealt to.
+SAMPLE_TASKS = 24
 #: Bits of an id filter: 16 for each id, but not fewer than the first nor more than the second (16 MB).
 FILTER_BITS = 1 << 23, 1 << 27
 _SLICE = 8 * 4096  # bits of one bitmap that bitmap_construct_agg builds
@@ -99,6 +101,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(id_crc(doc_id) % modulus == remainder, F.lit(False))
 
 
+def id_hash(doc_id: Column) -> Column:
+    """60 bits of the MD5 of the id as text; 0 for a null id."""
+    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint"), F.lit(0))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and hand it to body as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -116,6 +123,14 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
     return rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "y").limit(limit)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, limit: int) -> DataFrame:
+    """Rows (doc_id, y, text) of at most ``limit`` labelled documents; of an id's rows one text and the larger label. Null text is empty."""
+    chosen = labelled_sample(labels, label, modulus, remainder, limit).withColumnRenamed("doc_id", "id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # sample rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return written(rows.repartition(SAMPLE_TASKS, "doc_id"), f"sample_{label}")
+
+
 @dataclass
 class IdFilter:
     """A bitmap over hashes, in slices of 4 KB: rows (s, bits)."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import held_out
+from scorelake.llm.common import held_out, id_hash
 
 LENGTH = 300
 #: Documents of each language whose n-grams make its profile: a bound on what training reads.
@@ -57,14 +57,13 @@ def profile(codes: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame, modulus: int, remainder: int, sample: int) -> DataFrame:
-    """About ``sample`` training documents a language, those with the smallest hash of their id."""
+    """About ``sample`` training documents a language: those whose hash of the id, modulo the language's number of documents, is below it."""
     train = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)
     sizes = docs.where(train).groupBy("lang").agg(F.count("*").alias("n"))
     sizes = {r["lang"]: r["n"] for r in sizes.collect()}  # a row per language
     chosen = F.lit(False)
-    share = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30))
     for lang, n in sorted(sizes.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (share < int(min(1.0, sample / n) * (1 << 30))))
+        chosen = chosen | ((F.col("lang") == lang) & (id_hash(F.col("doc_id")) % n < sample))
     return docs.where(train & chosen)
 
 

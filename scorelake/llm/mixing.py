@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import WORD, fresh, written
+from scorelake.llm.common import WORD, fresh, id_hash, written
 
 WEIGHTS = (5, 2, 1)
 #: A source's target is at most so many times its size.
@@ -23,11 +23,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text; 0 for a null id."""
-    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint"), F.lit(0))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """source, source_size, target: all sizes shared by weight, no target above ``repeats`` times its source's size.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import held_out, labelled_sample
+from scorelake.llm.common import held_out, labelled_texts
 
 #: Labelled documents that training reads at most.
 SAMPLE = 8000
@@ -163,10 +163,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Ensemble:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> Ensemble:
     """Fit to at most ``sample`` labelled documents outside the fold; labels (doc_id, quality)."""
-    chosen = labelled_sample(labels, "quality", modulus, remainder, sample).withColumnRenamed("doc_id", "id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # sample rows of two numbers
-    rows = rows.select("doc_id", "y", measured(rows).alias("s")).select("doc_id", "y", "s.*").toPandas()
-    rows = rows.sort_values(["doc_id", "y"], kind="stable")
+    texts = labelled_texts(docs, labels, "quality", modulus, remainder, sample)
+    rows = texts.select("doc_id", "y", measured(texts).alias("s")).select("doc_id", "y", "s.*").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy())
 
 

@@ -13,6 +13,29 @@ def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(read_table(spark, sf_dir, "documents"))
 
 
+#: crc32 of a number's text: a step by byte, eight by bit.
+CRC32_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce({CRC32_SQL.format('doc_id')} % 5 = 0, false) AS held_out, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash,
+  ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(t, '')) AS x, unnest(range(1, length(t) + 1)) AS i FROM d WHERE length(t) > 2),
+w AS (SELECT doc_id, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, x AS g FROM w WHERE x <> ' ' UNION ALL SELECT doc_id, x || y FROM w WHERE y IS NOT NULL UNION ALL SELECT doc_id, x || y || z FROM w WHERE z IS NOT NULL AND y <> ' '),
+c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT doc_id, lang, hash % count(*) OVER (PARTITION BY lang) < 2000 AS chosen FROM d WHERE NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL),
+profiles AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS place FROM (
+  SELECT lang, g, sum(n) AS n FROM c JOIN s USING (doc_id) WHERE chosen GROUP BY ALL) QUALIFY place < 300),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS place FROM c QUALIFY place < 300),
+sizes AS (SELECT doc_id, count(*) AS k FROM own GROUP BY doc_id),
+near AS (SELECT own.doc_id, p.lang, sum(300 - least(abs(own.place - p.place), 300)) AS saved FROM own JOIN profiles p USING (g) GROUP BY ALL),
+best AS (SELECT doc_id, lang, 300 * k - coalesce(saved, 0) AS distance, 300 * k AS most FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM profiles) LEFT JOIN near USING (doc_id, lang)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+SELECT d.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1::DOUBLE - distance::DOUBLE / most::DOUBLE, 0::DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
 def op2_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +68,21 @@ def op7_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read_table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a run of five words, and what links lead to.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b, n = x.k AND n = y.k AS same FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 5 * n >= 4 * (x.k + y.k - n)),
+reach AS (SELECT doc_id AS id, doc_id AS met FROM d UNION SELECT id, b FROM reach JOIN link ON met = a),
+class AS (SELECT id, min(met) AS class_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS copy FROM link GROUP BY a)
+SELECT id AS doc_id, class_id, least(id, coalesce(copy, id)) AS copy_id, coalesce(n_links, 0)::BIGINT AS n_links FROM class LEFT JOIN counts ON id = a
+"""
+
+
 def op8_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -72,6 +110,20 @@ def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
 
+def part_op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 takes from rules, without the trees."""
+    return urls.matched(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "found.rule", F.col("found.verdict").alias("rule_verdict"))
+
+
+PART_OP9_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, name, start))
+SELECT page_id, host, path, name || start AS rule, verdict AS rule_verdict FROM h LEFT JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) = 1
+"""
+
+
 def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(read_table(spark, sf_dir, "documents"))
 
@@ -101,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rank_order_langid, op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op5_rule_ensemble_quality,
-        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules,
+        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules, part_op9_urls,
     )
 }
-ORACLE_SQL = {"op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL}
+ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL}

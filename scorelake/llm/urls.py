@@ -56,6 +56,8 @@ def entropy(s: Column) -> Column:
 
 #: Suffixes with statistics: of one label, and of two; those with so many labelled URLs, at most so many.
 SUFFIXES, SUFFIX_LEAST, SUFFIX_MOST = {"suffix": 1, "domain": 2}, 20, 500
+#: Folds of the labelled URLs for these statistics.
+FOLDS = 5
 
 
 def features(url: Column, h: Column, p: Column, rates: dict[str, float], base: float) -> dict[str, Column]:
@@ -146,13 +148,17 @@ def classifier(labelled: DataFrame, sample: int = SAMPLE):
     rows = some.select(F.col("y").alias("label"), F.struct(*(c.alias(k) for k, c in plain.items())).alias("x")).collect()
     y = np.array([r.label for r in rows], float)
     base = float(y.mean()) if len(y) else 0.5
-    ends: dict[str, list[float]] = {}
-    for r in rows:
+    # labelled URLs and blocked ones by suffix and fold
+    ends: dict[str, np.ndarray] = {}
+    for at, r in enumerate(rows):
         for end in {r.x[k] for k in SUFFIXES}:
-            ends.setdefault(end, []).append(r.label)
-    often = sorted((e for e in ends if len(ends[e]) >= SUFFIX_LEAST), key=lambda e: (-len(ends[e]), e))[:SUFFIX_MOST]
-    rates = {e: (sum(ends[e]) + 5 * base) / (len(ends[e]) + 5) for e in sorted(often)}
-    x = np.array([[rates.get(r.x[k], base) if k in SUFFIXES else r.x[k] for k in plain] for r in rows], float).reshape(len(rows), len(plain))
+            ends.setdefault(end, np.zeros((2, FOLDS)))[:, at % FOLDS] += 1, r.label
+    often = sorted((e for e in ends if ends[e][0].sum() >= SUFFIX_LEAST), key=lambda e: (-ends[e][0].sum(), e))[:SUFFIX_MOST]
+    rate = lambda n, blocked: float((blocked + 5 * base) / (n + 5))
+    rates = {e: rate(*ends[e].sum(1)) for e in sorted(often)}
+    # in training, a row's rates come from the other folds, so that its own label isn't among them
+    others = {e: [rate(*(ends[e].sum(1) - ends[e][:, f])) for f in range(FOLDS)] for e in rates}
+    x = np.array([[(others[r.x[k]][at % FOLDS] if r.x[k] in others else base) if k in SUFFIXES else r.x[k] for k in plain] for at, r in enumerate(rows)], float).reshape(len(rows), len(plain))
     start, trees = boost(x, y)
 
     def probability(columns: list[Column]) -> Column:
@@ -161,16 +167,22 @@ def classifier(labelled: DataFrame, sample: int = SAMPLE):
     return rates, base, probability
 
 
+def matched(pages: DataFrame, rules=RULES) -> DataFrame:
+    """Rows (page_id, url, host, path, found), found the struct (rule, verdict) of the longest fitting rule or null."""
+    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    return rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
+
+
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, block_score), one per row of pages (page_id, url).
 
     URLs that a rule decides are the labels of the trees, which decide the others: block from a score of
     one half. A null URL, or one without ://, has empty host and path and goes to the trees; without
     labels, or with one kind only, all trees' verdicts are that of the majority, block for none.
-    Rows with null or repeated page_id are judged like any other; an empty table gives no rows.
+    Rows with null or repeated page_id are judged like any other; an empty table gives no rows. URLs of
+    any length count as a whole, and other columns aren't looked at.
     """
-    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
+    rows = matched(pages, rules)
     labelled = rows.where("found is not null").select(F.col("page_id").alias("key"), "url", (F.col("found.verdict") == "block").cast("int").alias("y"))
     rates, base, probability = classifier(labelled, sample)
     x = features(F.col("url"), F.col("host"), F.col("path"), rates, base)

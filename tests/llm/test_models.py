@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -161,6 +162,104 @@ def test_noisy_or_by_hand():
     assert m.sentence("BAD bad") == pytest.approx(p[0]) and m.document(None) == m.document(" \n") == 0
 
 
+def test_plain_sentences_add_nothing():
+    for m in (toxicity.Model({}), toxicity.Model({"bad": 3.0}, -1.0)):
+        assert m.located("plain words here. " * 1_000_000) == (0.0, None, None, 0.0) and m.sentence("plain words") == 0
+    text = "plain words here. " * 100_000 + "A  Bad One! " + "plain. " * 1000
+    p = 1 / (1 + np.exp(-2.0))
+    assert m.located(text) == (pytest.approx(p), 100_000, "A  Bad One", pytest.approx(p))
+
+
+def test_located_sentences_are_those_that_offend(spark, odd, corpus, labels):
+    docs, rows = corpus
+    model = toxicity.train(docs, labels)
+    worst = {}
+    for r in toxicity.offending(docs, model, 1e-12).collect():
+        if r.doc_id not in worst or r.sentence_score > worst[r.doc_id][2]:
+            worst[r.doc_id] = r.nth, r.sentence, r.sentence_score
+    for r in toxicity.score(docs, model).collect():
+        assert (r.nth, r.sentence, r.sentence_score) == worst.get(r.doc_id, (None, None, 0.0))
+    assert toxicity.offending(odd, model).count() == 0
+    assert toxicity.offending(odd.selectExpr("doc_id", "concat(text, ' Idiot.') as text"), model).where("sentence like '%Idiot'").count() == odd.where("text is not null").count()
+
+
+def plain_counts(rows):
+    n, pos, words, pos_words = ({} for _ in range(4))
+    for text, y in rows:
+        bag = {}
+        found = set("".join(c if c.isalnum() else " " for c in text.lower()).split())
+        for w in found:
+            for f in {w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) > k)}:
+                bag[f] = bag.get(f, 0) + 1
+        bag[""] = len(found)
+        for f, c in bag.items():
+            for table, v in ((n, 1), (pos, y), (words, c), (pos_words, c * y)):
+                table[f] = table.get(f, 0) + v
+    return {f: (n[f], pos[f], words[f], pos_words[f]) for f in n}
+
+
+def test_counts_and_training_against_plain_versions(spark, corpus, labels, monkeypatch):
+    docs, rows = corpus
+    monkeypatch.setattr(toxicity, "COUNTS", 50)
+    texts = toxicity.labelled_texts(docs, labels, "toxic", 4, 2, 1000)
+    got = {r.feature: tuple(r)[1:] for r in toxicity.counted(texts).collect()}
+    kept = {r.doc_id for r in texts.collect()}
+    assert kept == {r[0] for r in rows if r[0] % 10} - folds(spark, 4, 2)
+    assert got == plain_counts([(r[1], int(r[5])) for r in rows if r[0] in kept])
+    # the loss at the fitted weights is about a minimum: changes of single weights don't lower it by more than a little (of at most 0.7)
+    words = toxicity.vocabulary(toxicity.counted(texts))
+    known = toxicity._known(texts, words)
+    model = toxicity.fit(words, known["sizes"].tolist(), known["places"].tolist(), known["y"].to_numpy())
+
+    def loss(weights, base):
+        m = toxicity.Model(weights, base)
+        p = np.clip([m.document(rows[i][1]) for i in sorted(kept)], 1e-6, 1 - 1e-9)
+        y = np.array([rows[i][5] for i in sorted(kept)])
+        return -np.mean(np.where(y, np.log(p), np.log(1 - p))) + 1e-4 / 2 * sum(w * w for w in weights.values())
+
+    least = loss(model.weights, model.base)
+    for f in words[:6]:
+        for step in (-0.5, 0.5):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.base) > least - 5e-4
+    assert loss(model.weights, model.base + 0.5) > least - 5e-4 and loss(model.weights, model.base - 0.5) > least - 5e-4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_toxic_documents_of_driver_tables_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.held_out_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    found, toxic, wrong = sum(r.predicted and r.toxic for r in rows), sum(r.toxic for r in rows), sum(r.predicted and not r.toxic for r in rows)
+    assert found > 0.8 * toxic and wrong <= 1, (found, toxic, wrong)
+
+
+def plain_statistics(text):
+    words, lines = text.split(), [x.strip() for x in text.split("\n") if x.strip()]
+    raw, w = text.encode(), max(1, len(words))
+    size, share = max(1, len(raw)), lambda chars, of: sum(raw.count(c.encode()) for c in chars) / of
+    upper, lower = (sum(97 - shift <= b <= 122 - shift for b in raw) for shift in (32, 0))
+    ends = [x for x in words if not x[-1].isalnum()]
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    most = max((words.count(x) for x in set(words)), default=0)
+    return [
+        np.log1p(len(text)), np.log1p(len(words)), len(text) / w, upper / max(1, upper + lower), share("0123456789", size), share("#*$%&|<>", size), share(marks, size), text.count("!") / w, text.count("|") / w,
+        text.count(",") / w, text.count(".") / w, sum(b > 127 for b in raw) / size, text.count(" ") / size, text.count("\n") / size, len(set(words)) / w, len(words) / max(1, len(lines)),
+        1 - len(set(lines)) / max(1, len(lines)), most / w, sum(x[0].isupper() for x in words) / w, len(ends) / w,
+    ]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 200, 401, 3000, 20_000])
+def test_statistics_against_a_plain_version(n):
+    draw = random.Random(n)
+    kinds = ["one", "Two", "dréi,", "4you!", "#tag|", "É", "a&b", "end.\n", "end.\n", "x"]
+    text = "".join(draw.choice(kinds) + draw.choice([" ", " ", "  ", "\n"]) for _ in range(n))
+    assert np.allclose(quality.statistics(text), plain_statistics(text))
+    # what only the end of a long text has counts as well
+    if n > 500:
+        changed = quality.statistics(text + "Zz! " * (n // 2))
+        got = dict(zip(quality.STATISTICS, changed, strict=True))
+        assert got["common_word"] > 0.3 and np.allclose(changed, plain_statistics(text + "Zz! " * (n // 2)))
+
+
 def test_clean_keeps_columns(odd, corpus, labels):
     out = toxicity.clean(odd, labels)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -120,6 +120,45 @@ def test_lines_of_odd_rows(odd, none):
     assert lines.judge(none).count() == 0
 
 
+def brute_cleaned(rows, docs_limit=10, share=0.02):
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub(r"\d+", "0", x.lower())).strip(" ")
+    texts, seen = defaultdict(set), defaultdict(set)
+    for _, text, _, host in rows:
+        texts[host].add(text or "")
+        for x in (text or "").split("\n"):
+            if WORD.search(x):
+                seen[host, norm(x)].add(text or "")
+    hot = {k for k, v in seen.items() if len(v) > docs_limit and len(v) > share * len(texts[k[0]])}
+    kept = [r[-1] for r in brute_lines_in_order(rows)]
+    out = []
+    for (doc, text, _, host), keep in zip(rows, kept, strict=True):
+        if keep:
+            left = [x for x in text.split("\n") if not WORD.search(x) or (host, norm(x)) not in hot]
+            out.append((doc, "\n".join(left)))
+    return sorted(out, key=str)
+
+
+def brute_lines_in_order(rows):
+    by = {r[0]: r for r in brute_lines([(k, *r[1:]) for k, r in enumerate(rows)])}
+    return [by[k] for k in range(len(rows))]
+
+
+def test_cleaned_texts_lack_their_frequent_lines(make, none):
+    draw = random.Random(7)
+    common = ["Visit us 12 times  a day", "all Rights reserved", "a b c d e f g"]
+    rows = []
+    for k in range(150):
+        body = [" ".join(f"{chr(97 + (k * 3 + j) % 26) * (1 + (k + j) % 7)}{chr(97 + j)}" for j in range(draw.randint(0, 14))) for _ in range(draw.randint(1, 3))]
+        body += draw.choices(common, k=draw.randint(0, 3))
+        draw.shuffle(body)
+        rows.append((k, draw.choice(["\n", "\n\n", " \n"]).join(body), "en", draw.choice(["a", "b", None])))
+    rows += [(300 + k, rows[5][1], "en", rows[5][3]) for k in range(20)] + [(None, rows[3][1], "en", rows[3][3]), (400, None, "en", "a")]
+    got = sorted(((r.doc_id, r.text) for r in lines.cleaned(make(rows, extra=True)).collect()), key=str)
+    assert got == brute_cleaned(rows)
+    assert any(len(t or "") < len(rows[i][1]) for i, t in got if i is not None and i < 150) and lines.cleaned(none).count() == 0
+    assert lines.cleaned(make(rows, extra=True)).columns == make(rows, extra=True).columns
+
+
 def test_depleted_documents_go_and_copies_count_once(make):
     line = " ".join(f"w{k}" for k in range(20)).replace("w1", "x")
     shared = [(k, f"{line}\nown words {k}", "en", "a") for k in range(20)]
