@@ -5,8 +5,13 @@ Scorer results are a long table, one row per case and scorer; they are nested on
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass, field, fields, replace
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +29,42 @@ CHECK_ITEMS = (
 LLM_CALLS = "data_index bigint, model string, in_tokens bigint, out_tokens bigint, success boolean"
 
 
+@cache
+def _local_scratch() -> str:
+    path = tempfile.mkdtemp(prefix="scorelake-run-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, in spark.checkpoint.dir; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_scratch()
+    return f"{base}/scorelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def environment_info() -> dict[str, str]:
+    """Where a run takes place: host, address, process, user, system, Python, memory and processors; empty where unknown."""
+    import getpass
+    import platform
+    import socket
+
+    def known(f) -> str:
+        try:
+            return str(f())
+        except (OSError, KeyError, ValueError, AttributeError):
+            return ""
+
+    return {
+        "host": known(socket.gethostname), "address": known(lambda: socket.gethostbyname(socket.gethostname())), "pid": str(os.getpid()), "user": known(getpass.getuser), "directory": known(os.getcwd),
+        "system": platform.system(), "release": platform.release(), "machine": platform.machine(), "python": platform.python_version(),
+        "cpus": str(os.cpu_count() or ""), "memory": known(lambda: os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")),
+    }
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Settings of a run; an environment variable or Spark setting wins where it is not empty and not zero."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.text import bound
 
+# Reasons of check items without a check.
 NOT_SUPPORTED, NOT_EXECUTED = "不支持检查", "未执行检查"
 METHODS = ("LLM", "RULE", "NONE")
 
@@ -72,12 +73,12 @@ def checker(name: str, items: list[Column], how: str = "sum", *, star: bool = Fa
     ))
 
 
-def merged(checkers: list[Column], how: str = "sum", skip_unsupported: bool = False) -> Column:
-    """Struct (score, total, reason, extra) of a scorer made of checkers: 0 if a star checker has 0.
+def merged(checkers: list[Column] | Column, how: str = "sum", skip_unsupported: bool = False) -> Column:
+    """Struct (score, total, reason, extra) of a scorer made of checkers, a list or an array: 0 if a star checker has 0.
 
     An unsupported star checker has score 0 and so vetoes, unless unsupported ones are skipped.
     """
-    array = F.array(*checkers)
+    array = checkers if isinstance(checkers, Column) else F.array(*checkers)
     if skip_unsupported:
         array = F.filter(array, lambda c: c["support"])
     return bound(array, lambda a: F.struct(
@@ -88,6 +89,30 @@ def merged(checkers: list[Column], how: str = "sum", skip_unsupported: bool = Fa
     ))
 
 
+def merged_by(checkers: list[Column], *hows: str) -> Column:
+    """Struct of one merge per way, all over the same checkers, which are evaluated once."""
+    return bound(F.array(*checkers), lambda a: F.struct(*(merged(a, how).alias(how) for how in hows)))
+
+
+def checked(before, check, after=None, failed=None):
+    """A checker with hooks: before(row) may change the row that check(row) sees, after(row, items) its items; failed(row, error) gives items in place of an error.
+
+    For checkers in plain Python, as judged.python_scorer runs them; without failed an error goes on.
+    """
+
+    def run(row: dict):
+        row = (before(row) if before else None) or row
+        try:
+            items = check(row)
+        except Exception as e:
+            if failed is None:
+                raise
+            return failed(row, e)
+        return (after(row, items) if after else None) or items
+
+    return run
+
+
 def long_item_scores(check_items: DataFrame, how: str) -> DataFrame:
     """The same fold over a long table of check items, by case and checker: rows (data_index, checker, checker_star, score, total_score)."""
     good, weighted = F.col("score") >= 0, F.col("score") * F.col("weight")

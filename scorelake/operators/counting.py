@@ -95,8 +95,23 @@ def issues(replies: DataFrame) -> DataFrame:
     return replies.select("data_index", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(UNKNOWN_ISSUE)))).alias("issue"))
 
 
+def _cases_by_issue(found: DataFrame) -> DataFrame:
+    return found.groupBy(F.col("issue").alias("issue_name")).agg(F.count("*").alias("case_count"))
+
+
+def attribute_counts(found: DataFrame, top: int | None = None) -> DataFrame:
+    """Rows (issue_name, case_count), most cases first. found: rows (data_index, issue) without repeats, as issues gives them."""
+    out = _cases_by_issue(found).orderBy(F.desc("case_count"), "issue_name")
+    return out.limit(top) if top is not None else out
+
+
+def attribute_cases(found: DataFrame) -> DataFrame:
+    """Rows (issue_name, data_index, case_count): the cases of each issue in long form, so that no row holds all of one issue."""
+    return found.select(F.col("issue").alias("issue_name"), "data_index").join(_cases_by_issue(found), "issue_name")
+
+
 def attribute_index(found: DataFrame, top: int | None = None) -> DataFrame:
-    """Rows (issue_name, case_ids, case_count), most cases first."""
+    """Rows (issue_name, case_ids, case_count), most cases first: for reports, as all ids of an issue are in one row."""
     out = found.groupBy(F.col("issue").alias("issue_name")).agg(F.array_sort(F.collect_set("data_index")).alias("case_ids"))
     out = out.withColumn("case_count", F.size("case_ids").cast("bigint")).orderBy(F.desc("case_count"), "issue_name")
     return out.limit(top) if top is not None else out

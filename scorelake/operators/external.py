@@ -6,15 +6,18 @@ idempotent. Persist what these operators return before several sinks read it.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.http import Answer, request
 from scorelake.functions.text import markdown_json
 from scorelake.model import API_RESULTS
 
@@ -29,6 +32,72 @@ class ChatModel(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+@dataclass
+class HttpTransport:
+    """The system under test behind HTTP: one request for each case, made by hooks.
+
+    body, params and headers take (data_index, item) and give a request's parts; a body that is a dict
+    goes as JSON, as a form or in parts, as ``encoding`` says. parse takes the answer and gives the result, None
+    for no answer; an answer's status from 400 on is an error unless it is among ``accept``.
+    """
+
+    url: str
+    method: str = "POST"
+    body: Callable[[int, dict], object] | None = lambda index, item: item
+    params: Callable[[int, dict], dict] | None = None
+    headers: Callable[[int, dict], dict] | None = None
+    parse: Callable[[Answer], dict | None] | None = None
+    encoding: str = "json"
+    connect_timeout: float = 10
+    read_timeout: float = 120
+    accept: tuple[int, ...] = ()
+    send: Callable[..., Answer] = request
+
+    def __call__(self, data_index: int, item: dict[str, str]) -> dict[str, str] | None:
+        made = {k: f(data_index, dict(item)) for k, f in (("params", self.params), ("headers", self.headers)) if f}
+        body = self.body(data_index, dict(item)) if self.body and self.method not in ("GET", "HEAD") else None
+        answer = self.send(self.url, self.method, body=body, encoding=self.encoding, connect_timeout=self.connect_timeout, read_timeout=self.read_timeout, **made)
+        if answer.status >= 400 and answer.status not in self.accept:
+            raise RuntimeError(f"status {answer.status}")
+        result = self.parse(answer) if self.parse else _fields(answer.text)
+        return None if result is None else {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in result.items()}
+
+
+def _fields(text: str) -> dict | None:
+    """Fields of a JSON object; any other text as ``response``, an empty one as no answer."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        found = text
+    return found if isinstance(found, dict) else {"response": text} if text else None
+
+
+@dataclass
+class WorkflowClient:
+    """An external workflow over HTTP: posts inputs and a user, waits for the end, and gives the outputs of a run that succeeded.
+
+    inputs takes a case's item; the answer is {"data": {"status", "outputs", "error"}}.
+    """
+
+    url: str
+    key: str
+    inputs: Callable[[dict], dict] = field(default=lambda item: item)
+    user: str = "scorelake"
+    connect_timeout: float = 10
+    read_timeout: float = 600
+    send: Callable[..., Answer] = request
+
+    def __call__(self, data_index: int, item: dict[str, str]) -> dict[str, str] | None:
+        body = {"inputs": self.inputs(dict(item)), "response_mode": "blocking", "user": self.user}
+        answer = self.send(self.url, "POST", body=body, headers={"Authorization": f"Bearer {self.key}"}, connect_timeout=self.connect_timeout, read_timeout=self.read_timeout)
+        if answer.status >= 400:
+            raise RuntimeError(f"status {answer.status}")
+        data = json.loads(answer.text).get("data") or {}
+        if data.get("status") != "succeeded":
+            raise RuntimeError(data.get("error") or f"the workflow ended as {data.get('status')}")
+        return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in (data.get("outputs") or {}).items()}
+
+
 def _called(client: Transport, index: int, item: dict[str, str], clock: Callable[[], int]) -> tuple:
     start = clock()
     try:
@@ -64,10 +133,10 @@ def ordered_completion(items: DataFrame, key: Column, order: list[Column], facto
 
 
 def llm(rows: DataFrame, factory: Callable[[], ChatModel], model: str, retries: int = 6, wait: float = 10.0, valid: Callable[[str], bool] | None = None, threads: int = 1) -> DataFrame:
-    """Replies to prompts of rows (data_index, prompt): (data_index, reply, attempts, error).
+    """Replies to prompts of rows (data_index, prompt): (data_index, prompt, reply, attempts, error).
 
     A call that raises, or whose reply isn't valid, is made again after ``wait`` seconds; after the
-    last one reply is null and error tells why.
+    last one reply is null and error tells why. Prompts come back with their replies, so nothing is joined.
     """
 
     def ask(chat: ChatModel, index: int, prompt: str) -> tuple:
@@ -89,17 +158,18 @@ def llm(rows: DataFrame, factory: Callable[[], ChatModel], model: str, retries:
         with ThreadPoolExecutor(threads) as pool:
             for b in batches:
                 pairs = zip(b["data_index"], b["prompt"], strict=True)
-                yield pd.DataFrame(list(pool.map(lambda p: ask(chat, *p), pairs)), columns=["data_index", "reply", "attempts", "error"])
+                out = pd.DataFrame(list(pool.map(lambda p: ask(chat, *p), pairs)), columns=["data_index", "reply", "attempts", "error"])
+                out.insert(1, "prompt", b["prompt"].to_numpy())
+                yield out
 
-    return rows.select("data_index", "prompt").mapInPandas(run, "data_index bigint, reply string, attempts int, error string")
+    return rows.select("data_index", "prompt").mapInPandas(run, "data_index bigint, prompt string, reply string, attempts int, error string")
 
 
-def llm_calls(prompts: DataFrame, replies: DataFrame, model: str) -> DataFrame:
-    """Token usage per call, estimated from prompt and reply."""
+def llm_calls(replies: DataFrame, model: str) -> DataFrame:
+    """Token usage per call, estimated from prompt and reply, of rows as llm gives them."""
     from scorelake.functions.text import token_count
 
-    both = prompts.select("data_index", "prompt").join(replies, "data_index")
-    return both.select("data_index", F.lit(model).alias("model"), token_count(F.col("prompt")).alias("in_tokens"), token_count(F.col("reply")).alias("out_tokens"), F.col("error").isNull().alias("success"))
+    return replies.select("data_index", F.lit(model).alias("model"), token_count(F.col("prompt")).alias("in_tokens"), token_count(F.col("reply")).alias("out_tokens"), F.col("error").isNull().alias("success"))
 
 
 _REGISTRY: dict[str, Callable[..., ChatModel]] = {}

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.http import request
 from scorelake.functions.text import markdown_json
 from scorelake.operators import checkers, external
 from scorelake.operators.scoring import Scorer, score_items
@@ -30,7 +30,7 @@ def prompt_scorer(items: DataFrame, prompt: Column, factory: Callable[[], extern
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(mark.isNull(), F.lit("the reply has no score"))
     extra = F.create_map(F.lit("prompt"), F.col("prompt"), F.lit("llmReply"), F.col("reply"))
     one = Scorer(mark, reason=parsed["reason"], error=error, extra=extra, **config)
-    return score_items(asked.join(replies, "data_index"), [one], kind)
+    return score_items(replies, [one], kind)
 
 
 def preset_scorer(name: str, items: DataFrame, values: list[Column], factory, **how) -> DataFrame:
@@ -128,5 +128,7 @@ class HttpChat:
 
 
 def _post(url: str, body: dict, headers: dict, timeout: float) -> str:
-    with urlopen(Request(url, json.dumps(body).encode(), headers, method="POST"), timeout=timeout) as answer:
-        return answer.read().decode()
+    answer = request(url, "POST", body=body, headers=headers, read_timeout=timeout)
+    if answer.status >= 400:
+        raise RuntimeError(f"status {answer.status}")
+    return answer.text

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import cache
 from random import Random
 from typing import Protocol
 
@@ -38,7 +41,7 @@ def java_date(moment: datetime, pattern: str) -> str:
     out, codes = [], dict(_JAVA)
     short = {"M": moment.month, "d": moment.day, "H": moment.hour, "m": moment.minute, "s": moment.second}
     if pattern.count("'") % 2:
-        raise ValueError(f"Invalid date pattern: {pattern}")
+        raise ValueError(f"no date pattern: {pattern}")
     for m in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z']+)", pattern):
         quoted, letters, _, other = m.groups()
         if quoted is not None or other:
@@ -50,10 +53,14 @@ def java_date(moment: datetime, pattern: str) -> str:
         elif letters in short:
             out.append(str(short[letters]))
         else:
-            raise ValueError(f"Invalid date pattern: {pattern}")
+            raise ValueError(f"no date pattern: {pattern}")
     return "".join(out)
 
 
+#: What the arguments of a date rule are, by their kinds: d for a number of days, p for a pattern.
+FORMS = {"": (), "d": ("most",), "p": ("pattern",), "dd": ("least", "most"), "dp": ("most", "pattern"), "ddp": ("least", "most", "pattern")}
+
+
 @dataclass
 class DateMocker:
     """date, future_date and past_date with [pattern], [days], [days pattern], [min max] or [min max pattern]."""
@@ -66,20 +73,19 @@ class DateMocker:
         return "date" in rule.lower()
 
     def parsed(self, args: list[str]) -> tuple[int, int, str]:
-        least, most, pattern = *self.days, self.pattern
+        """Least and most days and the pattern; kinds of arguments (d: days, p: pattern) that no form has are an error."""
+        kinds = "".join("d" if _is_number(a) else "p" for a in args)
+        if kinds not in FORMS:
+            raise ValueError(f"Error parsing args: {' '.join(args)} is none of the forms {', '.join(FORMS)}")
+        given = dict(zip(FORMS[kinds], args, strict=True))
+        if any("." in given.get(k, "") for k in ("least", "most")):
+            raise ValueError(f"Error parsing args: days are whole numbers, not {' '.join(args)}")
+        least, most = (int(given.get(k, d)) for k, d in zip(("least", "most"), self.days, strict=True))
+        pattern = given.get("pattern", self.pattern)
         try:
-            numbers = [_is_number(a) for a in args]
-            if len(args) == 1:
-                most, pattern = (int(args[0]), pattern) if numbers[0] else (most, args[0])
-            elif len(args) == 2 and numbers[0]:
-                least, most, pattern = (int(args[0]), int(args[1]), pattern) if numbers[1] else (least, int(args[0]), args[1])
-            elif len(args) == 3:
-                least, most, pattern = int(args[0]), int(args[1]), args[2]
-            elif args:
-                raise ValueError("Invalid arguments")
             java_date(datetime(2000, 1, 1), pattern)
         except ValueError as e:
-            raise ValueError(f"Error parsing args: {args}") from e
+            raise ValueError(f"Error parsing args: {e}") from e
         return least, most, pattern
 
     def mock(self, rule: str, args: list[str], draw: Random) -> str | None:
@@ -134,14 +140,46 @@ PLACES = (("北京市", "北京市", "故宫博物院"), ("北京市", "北京
 def _under(rows, args: list[str], column: int) -> list[str]:
     """Different values of a column in rows that begin with args."""
     if len(args) > 3:
-        raise ValueError("Invalid number of arguments")
+        raise ValueError(f"at most three places narrow a choice, not {' '.join(args)}")
     head = [SHORT_NAMES.get(a, a) if k == 0 else a for k, a in enumerate(args)]
     return [*dict.fromkeys(r[column] for r in rows if [*r[: len(head)]] == head)]
 
 
+def table_rows(path: str, columns: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+    """Rows of a CSV file with a header, by the named columns; read once in each process, and small enough for it (a country's streets are some 10 MB)."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return tuple(tuple(r[c] for c in columns) for r in csv.DictReader(f))
+
+
+@cache
+def _configured(name: str, columns: tuple[str, ...], sample: tuple) -> tuple:
+    """Rows of the file that the environment names for a kind of places, or else the sample."""
+    path = os.environ.get(f"SCORELAKE_{name}_TABLE", "")
+    return table_rows(path, columns) if path else sample
+
+
+def addresses() -> tuple:
+    """(province, city, area, street) of the file in SCORELAKE_ADDRESS_TABLE on each executor, or a small sample."""
+    return _configured("ADDRESS", ("province", "city", "area", "street"), ADDRESSES)
+
+
+def places() -> tuple:
+    """(province, city, place) of the file in SCORELAKE_PLACE_TABLE on each executor, or a small sample."""
+    return _configured("PLACE", ("province", "city", "place"), PLACES)
+
+
+def matching(rows: tuple, **given: str) -> list[dict[str, str]]:
+    """Address rows with the given levels, by any of province, city, area and street; short names of regions count."""
+    levels = ("province", "city", "area", "street")
+    if unknown := set(given) - set(levels):
+        raise ValueError(f"no level of an address: {', '.join(sorted(unknown))}")
+    want = {levels.index(k): SHORT_NAMES.get(v, v) for k, v in given.items()}
+    return [dict(zip(levels, r, strict=True)) for r in rows if all(r[k] == v for k, v in want.items())]
+
+
 @dataclass
 class AddressMocker:
-    rows: tuple = ADDRESSES
+    rows: tuple = field(default_factory=addresses)
     levels: tuple = ("province", "city", "area", "street")
 
     def support(self, rule: str, args: list[str]) -> bool:
@@ -155,7 +193,7 @@ class AddressMocker:
 
 @dataclass
 class PlaceMocker:
-    rows: tuple = PLACES
+    rows: tuple = field(default_factory=places)
 
     def support(self, rule: str, args: list[str]) -> bool:
         return rule == "scenic"

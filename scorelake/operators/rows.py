@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.values import get_or, put
+from scorelake.model import scratch
 
 
 def filter_all(df: DataFrame, predicates: list[Column]) -> DataFrame:
@@ -32,8 +33,10 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The same rows in the same partitions for all that read them: range bounds are sampled, so they may differ between two runs of a plan."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """The same rows for all that read them, written and read back: range bounds are sampled, so they may differ between two runs of a plan."""
+    path = scratch(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reindexed(df: DataFrame, order: list, name: str = "data_index") -> DataFrame:

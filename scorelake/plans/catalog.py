@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -245,10 +244,10 @@ def q30_remaining_processed(spark, sf_dir):
 _TOKENS = r"regexp_extract_all(regexp_replace(lower({}), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}_]+')"
 
 
-@query(f"SELECT doc_id, len({_TOKENS.format('text')})::BIGINT AS n_tokens, array_to_string(list_sort({_TOKENS.format('text')})[1:5], ' ') AS first_tokens FROM documents")
+@query(f"SELECT doc_id, len({_TOKENS.format('text')})::BIGINT AS n_tokens, array_to_string(list_sort({_TOKENS.format('text')})[1:5], ' ') AS first_tokens, md5(array_to_string(list_sort({_TOKENS.format('text')}), ' ')) AS all_tokens FROM documents")
 def q31_tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join(F.slice(F.array_sort("t"), 1, 5), " ").alias("first_tokens"))
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.bound(F.array_sort(tx.tokens(F.col("text"))), lambda t: F.struct(F.size(t).cast("bigint").alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("first_tokens"), F.md5(F.array_join(t, " ")).alias("all_tokens"))).alias("t"))
+    return t.select("doc_id", "t.*")
 
 
 _COSINE = f"""{CONV_ITEMS}, a AS (SELECT data_index, unnest({_TOKENS.format('query')}) AS t FROM conv_items), b AS (SELECT data_index, unnest({_TOKENS.format('response')}) AS t FROM conv_items),
@@ -359,9 +358,8 @@ _SAFE = "CASE WHEN toxic IS NULL THEN 1 ELSE 1 - toxic END::DOUBLE"
   floor(CASE WHEN s = 0 THEN 0 ELSE least(f, s) END * 1e6 + 0.5) / 1e6 AS min_score, 5.0::DOUBLE AS total FROM c""")
 def q43_checker_merge(spark, sf_dir):
     c = views.doc_items(spark, sf_dir)
-    merged = {how: checkers.merged(_doc_checks("sum"), how) for how in ("sum", "avg", "min")}
-    out = c.select("data_index", *(m.alias(k) for k, m in merged.items()))
-    return out.select("data_index", *(_round(F.col(f"{k}.score")).alias(f"{k}_score") for k in merged), F.col("sum.total").alias("total"))
+    out = c.select("data_index", checkers.merged_by(_doc_checks("sum"), "sum", "avg", "min").alias("m"))
+    return out.select("data_index", *(_round(F.col(f"m.{k}.score")).alias(f"{k}_score") for k in ("sum", "avg", "min")), F.col("m.sum.total").alias("total"))
 
 
 @query(f"""WITH {DOC_ITEMS}, {_FORM}, c AS (SELECT data_index, CASE WHEN {_SAFE} = 0 THEN 0 ELSE ({_form_sql('sum')}) + {_SAFE} END AS score FROM form)
@@ -386,21 +384,17 @@ def _replies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("data_index"), reply.alias("reply"))
 
 
-def _joined_ids(df):
-    return df.select("issue_name", F.array_join(F.transform("case_ids", lambda x: x.cast("string")), ",").alias("case_ids"), "case_count")
-
-
-@query(f"WITH {_ISSUES} SELECT issue AS issue_name, string_agg(data_index::VARCHAR, ',' ORDER BY data_index) AS case_ids, count(*) AS case_count FROM issues GROUP BY issue")
+@query(f"WITH {_ISSUES} SELECT issue AS issue_name, data_index, count(*) OVER (PARTITION BY issue) AS case_count FROM issues")
 def q45_attribute_index(spark, sf_dir):
-    return _joined_ids(counting.attribute_index(counting.issues(_replies(spark, sf_dir))))
+    return counting.attribute_cases(counting.issues(_replies(spark, sf_dir)))
 
 
 @query(f"""WITH {_ISSUES}, syn AS (SELECT * FROM (VALUES ('延迟', '慢'), ('错误', '错'), ('错误', '乱码')) t(standard, synonym)),
   n AS (SELECT DISTINCT data_index, standard FROM issues JOIN syn ON issue = synonym)
-  SELECT standard AS issue_name, string_agg(data_index::VARCHAR, ',' ORDER BY data_index) AS case_ids, count(*) AS case_count FROM n GROUP BY standard""")
+  SELECT standard AS issue_name, data_index, count(*) OVER (PARTITION BY standard) AS case_count FROM n""")
 def q46_attribute_normalized(spark, sf_dir):
     synonyms = counting.synonym_table(spark, '```json\n{"延迟": ["慢"], "错误": ["错", "乱码"]}\n```')
-    return _joined_ids(counting.attribute_index(counting.normalized_issues(counting.issues(_replies(spark, sf_dir)), synonyms)))
+    return counting.attribute_cases(counting.normalized_issues(counting.issues(_replies(spark, sf_dir)), synonyms))
 
 
 # --- calls --------------------------------------------------------------------------------
@@ -453,8 +447,7 @@ def q49_llm_usage(spark, sf_dir):
     calls = []
     for k, model in enumerate(("small", "large")):
         prompts = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == k).select(F.col("doc_id").alias("data_index"), F.col("text").alias("prompt"))
-        replies = external.llm(prompts, _echo_model, model, retries=1)
-        calls.append(external.llm_calls(prompts, replies, model))
+        calls.append(external.llm_calls(external.llm(prompts, _echo_model, model, retries=1), model))
     return counting.llm_usage(calls[0].union(calls[1]), prices)
 
 
@@ -498,25 +491,18 @@ def _length_scores(batch: DataFrame) -> DataFrame:
     return scoring.verdicts(scoring.score_items(batch, s), "sum", 500, reasons=False)
 
 
-def _delta_folder(spark, sf_dir: str, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import atexit
-        import shutil
-        import tempfile
+def _ordered_scores(batch: DataFrame) -> DataFrame:
+    """The number of calls of its source that succeeded up to a case: it depends on the order of calls."""
+    items = batch.select("data_index", "source", F.create_map(F.lit("key"), F.col("source")).alias("input_item"))
+    out = external.ordered_completion(items, F.col("source"), [F.col("data_index")], _Echo, _clock)
+    return out.select("data_index", vl.get_or(F.col("result_item"), "nth", "0").cast("double").alias("score"), F.col("success").alias("pass"))
 
-        base = tempfile.mkdtemp(prefix="scorelake-delta-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base}/{name}-{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}-{uuid.uuid4().hex[:8]}"
 
-
-def _delta(spark, sf_dir, name, **how):
-    from scorelake.model import RunConfig
+def _delta(spark, sf_dir, name, evaluate, **how):
+    from scorelake.model import RunConfig, scratch
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("data_index"), "text", "lang", "source")
-    run = delta.DeltaRun(spark, _delta_folder(spark, sf_dir, name), _length_scores, RunConfig(task_name=name, batch_size=2000), files_per_batch=4, **how)
+    run = delta.DeltaRun(spark, scratch(spark, name), evaluate, RunConfig(task_name=name, batch_size=2000, message_process_max_time=3600), files_per_batch=4, **how)
     run.load(docs)
     return run.run().select("data_index", "score", "pass")
 
@@ -526,12 +512,13 @@ _DELTA_SQL = "SELECT doc_id AS data_index, length(text)::DOUBLE + CASE WHEN lang
 
 @query(_DELTA_SQL)
 def q53_delta_batch_equiv(spark, sf_dir):
-    return _delta(spark, sf_dir, "delta")
+    return _delta(spark, sf_dir, "delta", _length_scores)
 
 
-@query(_DELTA_SQL)
+@query("""SELECT doc_id AS data_index, CASE WHEN ok THEN count(*) FILTER (WHERE ok) OVER (PARTITION BY source ORDER BY doc_id) ELSE 0 END::DOUBLE AS score, ok AS pass
+  FROM (SELECT doc_id, source, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS ok FROM documents)""")
 def q54_ordered_delta_equiv(spark, sf_dir):
-    return _delta(spark, sf_dir, "ordered", key=F.col("source"), order=[F.col("data_index")])
+    return _delta(spark, sf_dir, "ordered", _ordered_scores, key=F.col("source"), order=[F.col("data_index")])
 
 
 @query(f"""WITH {EVENT_CASES} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, {RATES_SQL} FROM event_cases GROUP BY ALL""")
@@ -548,7 +535,7 @@ def _flagship_verdicts(spark, sf_dir):
         scoring.Scorer(F.least(F.length("response") / 100.0, F.lit(1.0)), "length", threshold=0.2),
         scoring.vector_similarity(F.col("query"), F.col("response"), 0.1, metric="similarity"),
     ]
-    return scoring.verdicts(scoring.score_items(items, scorers), "sum", 1.0)
+    return scoring.item_verdicts(items, scorers, "sum", 1.0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

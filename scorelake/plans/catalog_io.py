@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
 import tempfile
+import threading
 import uuid
+from functools import cache
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as tx
 from scorelake.functions import values as vl
+from scorelake.model import RunConfig, scratch
 from scorelake.operators import checkers, counting, external, judged, mock, scoring
-from scorelake.plans import catalog, views
+from scorelake.plans import catalog, flow, views
 from scorelake.plans.catalog import query
 from scorelake.plans.views import EVENT_CASES, table
 from scorelake.sinks import reports
 from scorelake.sources import files
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder that executors share; a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="scorelake-io-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 class _Judge:
     """Marks a prompt by the length of its data; has no score for texts of one length, and fails for another."""
 
@@ -75,7 +69,7 @@ def q58_llm_rounds(spark, sf_dir):
 def q59_report_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("data_index"), F.create_map(F.lit("query"), F.concat(F.lit("q"), F.col("doc_id").cast("string"))).alias("input_item"), "n_chars")
     results = scoring.score_items(docs, [scoring.Scorer(F.col("n_chars"), "size")])
-    path = _folder(spark, "report")
+    path = scratch(spark, "report")
     reports.json_lines(reports.nested_cases(docs, None, scoring.verdicts(results, "sum", 500), results), path)
     back = catalog.rows.injected(files.json_lines(spark, path))
     return back.select("data_index", vl.get_or(F.col("input_item"), "query").alias("query"), "eval_result.score", F.col("eval_result.pass"))
@@ -89,7 +83,7 @@ def q60_map_flatten(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM customer")
 def q61_csv_round_trip(spark, sf_dir):
-    path = _folder(spark, "csv")
+    path = scratch(spark, "csv")
     table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).option("escape", '"').csv(path)
     item = lambda k: F.col("input_item")[k]
     return files.csv(spark, path).select(vl.to_long(item("c_custkey")).alias("c_custkey"), item("c_name").alias("c_name"), item("c_mktsegment").alias("c_mktsegment"))
@@ -123,7 +117,7 @@ def q64_count_cube(spark, sf_dir):
 
 @query(f"WITH {catalog._ISSUES} SELECT issue AS issue_name, count(*) AS case_count FROM issues GROUP BY issue ORDER BY case_count DESC, issue LIMIT 2")
 def q65_top_issues(spark, sf_dir):
-    return counting.attribute_index(counting.issues(catalog._replies(spark, sf_dir)), top=2).select("issue_name", "case_count")
+    return counting.attribute_counts(counting.issues(catalog._replies(spark, sf_dir)), top=2)
 
 
 @query("SELECT doc_id, '燕儿窝街道 除夕 ' || lang AS text FROM documents")
@@ -151,13 +145,142 @@ def q68_chat_completions(spark, sf_dir):
     return external.llm(rows, _Chat, "m", retries=1).select("data_index", "reply", "attempts")
 
 
-@query("SELECT count(*) AS n, min(i) AS least, max(i) AS most, count(DISTINCT i) AS different FROM range((SELECT count(*) FROM documents)) t(i)")
+@query("""SELECT count(*) AS n, 0::BIGINT AS least, count(*) - 1 AS most, count(*) AS different, count(DISTINCT doc_id) AS ids, sum(('0x' || substr(md5(doc_id || ' ' || coalesce(lang, '-')), 1, 8))::BIGINT)::BIGINT AS digest,
+  count(*) > 2 AS moved FROM documents""")
 def q69_shuffled_load(spark, sf_dir):
     docs = files.as_items(table(spark, sf_dir, "documents").select("doc_id", "lang"))
-    return files.load(docs, shuffle_seed=11).agg(F.count("*").alias("n"), F.min("data_index").alias("least"), F.max("data_index").alias("most"), F.count_distinct("data_index").alias("different"))
+    rows = files.load(docs, shuffle_seed=11).select("data_index", F.col("input_item")["doc_id"].alias("doc_id"), F.coalesce(F.col("input_item")["lang"], F.lit("-")).alias("lang"))
+    # every row is there once, under an index that follows neither the ids nor their reverse
+    digest = F.conv(F.substring(F.md5(F.concat_ws(" ", "doc_id", "lang")), 1, 8), 16, 10).cast("bigint")
+    trend = F.corr("data_index", F.col("doc_id").cast("double"))
+    return rows.agg(
+        F.count("*").alias("n"), F.min("data_index").alias("least"), F.max("data_index").alias("most"), F.count_distinct("data_index").alias("different"),
+        F.count_distinct("doc_id").alias("ids"), F.sum(digest).alias("digest"), (F.abs(trend) < 0.5).alias("moved"),
+    )
+
 
+_UUID = "substr(h, 1, 12) || '3' || substr(h, 14, 3) || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18)"
 
-@query("SELECT page_id, unhex(hex(url))::VARCHAR AS url, md5(url) AS digest FROM pages WHERE length(url) > 20")
+
+@query(f"SELECT page_id, unhex(hex(url))::VARCHAR AS url, {_UUID} AS uuid, h AS digest FROM (SELECT *, md5(url) AS h FROM pages) WHERE length(url) > 20")
 def q70_filters_and_ids(spark, sf_dir) -> DataFrame:
     pages = catalog.rows.filter_all(table(spark, sf_dir, "pages"), [F.length("url") > 20])
-    return pages.select("page_id", tx.from_hex(tx.to_hex(F.col("url"))).cast("string").alias("url"), F.replace(tx.uuid3(F.col("url")), F.lit("-"), F.lit("")).alias("u"), F.md5("url").alias("digest")).drop("u")
+    return pages.select("page_id", tx.from_hex(tx.to_hex(F.col("url"))).cast("string").alias("url"), F.replace(tx.uuid3(F.col("url")), F.lit("-"), F.lit("")).alias("uuid"), F.md5("url").alias("digest"))
+
+
+_CHOICES = {
+    "{{area 北京市}}": ("东城区", "海淀区"), "{{street 广东省}}": ("石牌街道", "粤海街道"), "{{scenic 北京市 北京市}}": ("故宫博物院", "颐和园"), "{{between_local_holiday 20240930 20241002}}": ("国庆节",),
+    "{{nothing}}": ("",),
+}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f"('{rule}', '{value}', true)" for rule, values in _CHOICES.items() for value in values)}) t(rule, value, same_again)")
+def q71_mock_choices(spark, sf_dir):
+    """All values that rules with several give over the documents, and whether the same seed gives the same again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _CHOICES))).alias("rule"))
+    key = F.xxhash64("doc_id", "rule")
+    rows = rows.withColumn("value", mock.mock_text(F.col("rule"), key, 5)).withColumn("again", mock.mock_text(F.col("rule"), key, 5))
+    return rows.groupBy("rule", "value").agg(F.bool_and(F.col("value") == F.col("again")).alias("same_again"))
+
+
+# --- over HTTP ----------------------------------------------------------------------------
+
+
+class _Service(BaseHTTPRequestHandler):
+    """Answers with what it was sent; 503 for every seventh number, nothing for every fifth."""
+
+    protocol_version = "HTTP/1.1"
+
+    def do_POST(self) -> None:
+        kind, data = self.headers.get("Content-Type", ""), self.rfile.read(int(self.headers.get("Content-Length", 0)))
+        if kind.startswith("multipart/"):
+            parts = data.split(b"--" + kind.partition("boundary=")[2].encode())[1:-1]
+            body = {p.partition(b'name="')[2].partition(b'"')[0].decode(): p.partition(b"\r\n\r\n")[2].removesuffix(b"\r\n").decode() for p in parts}
+        elif kind.startswith("application/x-www-form-urlencoded"):
+            body = {k: v[0] for k, v in parse_qs(data.decode()).items()}
+        else:
+            body = json.loads(data)
+        given = parse_qs(urlsplit(self.path).query).get("given", [""])[0]
+        number = int(body.get("number") or body["inputs"]["number"])
+        text = json.dumps({"data": {"status": "succeeded" if number % 3 else "failed", "outputs": {"double": str(2 * number)}, "error": "three"}} if "inputs" in body else {"reply": f"{body['number']} {given} {self.headers.get('X-Case', '')}", "kind": kind.partition(";")[0]})
+        out = b"" if number % 5 == 0 and "inputs" not in body else text.encode()
+        self.send_response(503 if number % 7 == 0 and "inputs" not in body else 200)
+        self.send_header("Content-Length", str(len(out)))
+        self.end_headers()
+        self.wfile.write(out)
+
+    def log_message(self, *_) -> None: ...
+
+
+@cache
+def service(host: str) -> str:
+    """The address of a service in this process, up to its end."""
+    server = ThreadingHTTPServer((host, 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return f"http://{host}:{server.server_port}"
+
+
+def _address(spark: SparkSession) -> str:
+    return service(spark.conf.get("spark.driver.host", "127.0.0.1"))
+
+
+@query("""SELECT item_id AS data_index, encoding, item_id % 7 <> 0 AND item_id % 5 <> 0 AS success,
+  CASE WHEN item_id % 7 <> 0 AND item_id % 5 <> 0 THEN item_id || ' p' || item_id || ' h' || item_id ELSE 'none' END AS reply, CASE WHEN item_id % 7 <> 0 AND item_id % 5 <> 0 THEN kind ELSE 'none' END AS kind
+  FROM benchmark, (VALUES ('json', 'application/json'), ('form', 'application/x-www-form-urlencoded'), ('multipart', 'multipart/form-data')) t(encoding, kind)""")
+def q72_http_api(spark, sf_dir):
+    address, out = _address(spark), []
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("data_index"), F.create_map(F.lit("number"), F.col("item_id").cast("string")).alias("input_item"))
+    for encoding in ("json", "form", "multipart"):
+
+        def made(encoding=encoding):
+            return external.HttpTransport(address, body=lambda i, x: {"number": x["number"]}, params=lambda i, x: {"given": f"p{i}"}, headers=lambda i, x: {"X-Case": f"h{i}"}, encoding=encoding)
+
+        rows = external.api_completion(items, made, threads=4, clock=catalog._clock)
+        out.append(rows.select("data_index", F.lit(encoding).alias("encoding"), "success", *(vl.get_or(F.col("result_item"), k, "none").alias(k) for k in ("reply", "kind"))))
+    return out[0].union(out[1]).union(out[2])
+
+
+def _doubled(address: str):
+    def score(rows: DataFrame, kind: str) -> DataFrame:
+        return judged.workflow_scorer(rows, lambda: external.WorkflowClient(address, "key"), lambda x: x["double"].cast("double"), kind, metric="double", total_score=100, threshold=20)
+
+    return score
+
+
+def _odd(rows: DataFrame, kind: str) -> DataFrame:
+    return judged.python_scorer(rows.withColumn("number", F.col("input_item")["number"]), ["number"], {"odd": lambda r: (int(r["number"]) % 2, "parity"), "one": lambda r: (1, "")}, kind)
+
+
+@query("""WITH i AS (SELECT item_id AS n FROM benchmark ORDER BY item_id LIMIT 20 OFFSET 5),
+  r AS (SELECT n, 0 AS pos, 'half' AS metric, n / 2.0::DOUBLE AS score, true AS success FROM i UNION ALL SELECT n, 1, 'double', CASE WHEN n % 3 <> 0 THEN 2 * n ELSE 0 END::DOUBLE, n % 3 <> 0 FROM i
+  UNION ALL SELECT n, 2, 'odd', (n % 2)::DOUBLE, true FROM i UNION ALL SELECT n, 3, 'one', 1.0::DOUBLE, true FROM i UNION ALL SELECT n, 4, 'third', n / 4.0::DOUBLE, true FROM i)
+  SELECT row_number() OVER (ORDER BY n) - 1 AS data_index, sum(score) FILTER (WHERE success)::DOUBLE AS score, bool_and(success) AS success, string_agg(metric, ',' ORDER BY pos) AS metrics FROM r GROUP BY n""")
+def q73_mixed_scorers(spark, sf_dir):
+    """A full run of twenty cases from the sixth on, as its config says: scorers in column form, a workflow over HTTP, and plain Python."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("data_index"), F.create_map(F.lit("number"), F.col("item_id").cast("string")).alias("input_item"))
+    number = F.col("input_item")["number"].cast("double")
+    nodes = [flow.Score(scoring.Scorer(number / 2, "half")), flow.Score(_doubled(_address(spark))), flow.Score(_odd), flow.Score(scoring.Scorer(number / 4, "third"))]
+    context = flow.FullRun(RunConfig(offset=5, limit=20), lambda: items, nodes).run()
+    names = context.scored().groupBy("data_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scorer_pos", "metric"))), lambda x: x["metric"]), ",").alias("metrics"))
+    return context.verdicts(reasons=False).select("data_index", "score", "success").join(names, "data_index")
+
+
+@query("SELECT item_id AS data_index, 'h' || item_id AS name FROM benchmark")
+def q74_fetched_file(spark, sf_dir):
+    """A file behind a URL, read by executors after the driver has fetched it."""
+    ids = [r.item_id for r in table(spark, sf_dir, "benchmark").select("item_id").toLocalIterator()]  # a small table, to be a file
+    text = "\n".join(["id,name", *(f"{i},h{i}" for i in ids)])
+
+    class File(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *_) -> None: ...
+
+    with ThreadingHTTPServer(("127.0.0.1", 0), File) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        rows = files.csv(spark, f"http://127.0.0.1:{server.server_port}/cases.csv")
+        server.shutdown()
+    return rows.select(vl.to_long(F.col("input_item")["id"]).alias("data_index"), F.col("input_item")["name"].alias("name"))

@@ -9,20 +9,25 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scorelake.model import RunConfig
-from scorelake.operators import scoring
+from scorelake.operators import external, scoring
+from scorelake.operators.rows import reindexed, sliced
 from scorelake.sinks.reports import report
 
+#: Metrics that one function may give.
+WIDTH = 1000
 INIT, RUNNING, DONE, FAILED = "INIT", "RUNNING", "DONE", "FAILED"
 
 
 @dataclass
 class Context:
-    """What nodes share. results: long scorer results of all scorers so far."""
+    """What nodes share. scorers: those in column form; row_scorers: functions that give long scorer results; results: all scorers' results, once asked for."""
 
     strategy: str = "sum"
     threshold: float = 0.0
@@ -32,15 +37,35 @@ class Context:
     counts: dict[str, DataFrame] = field(default_factory=dict)
     values: dict = field(default_factory=dict)
     scorers: list[scoring.Scorer] = field(default_factory=list)
+    row_scorers: list[tuple[int, Callable[[DataFrame, str], DataFrame]]] = field(default_factory=list)
+    config: RunConfig = field(default_factory=RunConfig)
+
+    def rows(self) -> DataFrame:
+        """Items with their API results, if there are any."""
+        return self.items if self.api_results is None else self.items.join(self.api_results, "data_index", "left")
 
     def scored(self) -> DataFrame:
-        """Scorer results: one pass over items, with API results joined to them if there are any."""
+        """Long results of all scorers: those in column form in one pass over the items, and those of functions, by their order in the workflow."""
         if self.results is None:
-            rows = self.items if self.api_results is None else self.items.join(self.api_results, "data_index", "left")
-            self.results = scoring.score_items(rows, self.scorers, scoring.strategy(self.strategy).kind)
+            kind = scoring.strategy(self.strategy).kind
+            taken = {pos for pos, _ in self.row_scorers}
+            free = [pos for pos in range(len(self.scorers) + len(taken)) if pos not in taken]
+            parts = []
+            if self.scorers:
+                place = F.element_at(F.array(*map(F.lit, free)), F.col("scorer_pos") + 1)
+                parts.append(scoring.score_items(self.rows(), self.scorers, kind).withColumn("scorer_pos", place))
+            # a function may give several metrics, which share its position and are told apart by a fraction of it in their order
+            for pos, score in self.row_scorers:
+                parts.append(score(self.rows(), kind).withColumn("scorer_pos", F.lit(pos) * WIDTH + F.col("scorer_pos")))
+            if self.row_scorers and self.scorers:
+                parts[0] = parts[0].withColumn("scorer_pos", F.col("scorer_pos") * WIDTH)
+            self.results = reduce(DataFrame.unionByName, parts) if parts else scoring.score_items(self.rows(), [], kind)
         return self.results
 
     def verdicts(self, **how) -> DataFrame:
+        """One verdict per item; without functions among the scorers they are folded inside each row."""
+        if self.results is None and self.scorers and not self.row_scorers:
+            return scoring.item_verdicts(self.rows(), self.scorers, self.strategy, self.threshold, **how)
         return scoring.verdicts(self.scored(), self.strategy, self.threshold, items=self.items, **how)
 
 
@@ -77,8 +102,18 @@ class Begin(Node):
 
 
 class Load(Node):
+    """The items of a run; those that its config's offset and limit leave, indexed anew if these say anything."""
+
     def __init__(self, source: Callable[[], DataFrame]):
-        super().__init__(lambda c: setattr(c, "items", source()))
+        def run(c: Context) -> None:
+            c.items = paged(source(), c.config)
+
+        super().__init__(run)
+
+
+def paged(items: DataFrame, config: RunConfig) -> DataFrame:
+    """The page of offset and limit in the order of data_index; as anywhere, without a limit the offset doesn't count."""
+    return reindexed(sliced(items, ["data_index"], config.offset, config.limit), ["data_index"]) if config.limit >= 0 else items
 
 
 class Wrap(Node):
@@ -87,15 +122,34 @@ class Wrap(Node):
 
 
 class Call(Node):
-    """An API over all items; its results are kept when ``persist`` is set, for sinks read them again."""
+    """An API over all items; its results are kept when ``persist`` is set, for sinks read them again.
+
+    call takes the items, or a Transport's factory is given: then the run's thread_num says how many
+    calls a partition makes at a time.
+    """
 
-    def __init__(self, call: Callable[[DataFrame], DataFrame], persist: bool = True):
-        super().__init__(lambda c: setattr(c, "api_results", call(c.items).persist() if persist else call(c.items)))
+    def __init__(self, call: Callable[[DataFrame], DataFrame] | None = None, persist: bool = True, factory: Callable[[], external.Transport] | None = None):
+        def run(c: Context) -> None:
+            made = call(c.items) if call else external.api_completion(c.items, factory, threads=c.config.thread_num)
+            c.api_results = made.persist() if persist else made
+
+        if (call is None) == (factory is None):
+            raise ValueError("either call or factory must be given")
+        super().__init__(run)
 
 
 class Score(Node):
-    def __init__(self, scorer: scoring.Scorer):
-        super().__init__(lambda c: c.scorers.append(scorer))
+    """A scorer: in column form, or a function of the rows and the kind of strategy that gives long scorer results, as those of judged do."""
+
+    def __init__(self, scorer: scoring.Scorer | Callable[[DataFrame, str], DataFrame]):
+        def run(c: Context) -> None:
+            c.results = None
+            if isinstance(scorer, scoring.Scorer):
+                c.scorers.append(scorer)
+            else:
+                c.row_scorers.append((len(c.scorers) + len(c.row_scorers), scorer))
+
+        super().__init__(run)
 
 
 class Count(Node):
@@ -138,7 +192,7 @@ class Workflow:
         return self.context
 
     def clone(self) -> "Workflow":
-        return Workflow(self.order, replace(self.context, counts=dict(self.context.counts), values=dict(self.context.values), scorers=list(self.context.scorers)))
+        return Workflow(self.order, replace(self.context, counts=dict(self.context.counts), values=dict(self.context.values), scorers=list(self.context.scorers), row_scorers=list(self.context.row_scorers)))
 
 
 class WorkflowBuilder:
@@ -180,7 +234,11 @@ class WorkflowBuilder:
 
 @dataclass
 class FullRun:
-    """load, evaluation workflow, report workflow; hooks before and after the whole and each part."""
+    """load, evaluation workflow, report workflow; hooks before and after the whole and each part.
+
+    Of the config, offset and limit page the loaded items, thread_num is for calls by factory,
+    strategy and pass_score are for verdicts.
+    """
 
     config: RunConfig
     load: Callable[[], DataFrame]
@@ -189,7 +247,7 @@ class FullRun:
     hooks: dict[str, Callable[[Context], None]] = field(default_factory=dict)
 
     def run(self) -> Context:
-        context = Context(strategy=self.config.strategy, threshold=self.config.pass_score)
+        context = Context(strategy=self.config.strategy, threshold=self.config.pass_score, config=self.config)
         hook = lambda name: self.hooks.get(name, lambda c: None)(context)
         hook("before")
         for name, part in (("load", [Load(self.load)]), ("evaluation", self.evaluation), ("report", self.reports)):

@@ -7,8 +7,6 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO
-from urllib.parse import urlencode
-from urllib.request import Request, urlopen
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from scorelake.functions.http import request
+from scorelake.model import scratch
 from scorelake.operators.rows import filter_all, reindexed, shuffled, sliced
 
 
@@ -29,7 +29,7 @@ def as_items(df: DataFrame) -> DataFrame:
 def load(source: DataFrame, predicates: list[Column] | None = None, offset: int = 0, limit: int = -1, shuffle_seed: int | None = None) -> DataFrame:
     """shuffle, filter, slice, index from 0: items (data_index, input_item, extra). Raises if there are none at all."""
     if source.isEmpty():
-        raise ValueError("Input data list is empty")
+        raise ValueError("the source is empty")
     rows = shuffled(source.drop("order_key") if "order_key" in source.columns else source, shuffle_seed) if shuffle_seed is not None else source
     rows = sliced(filter_all(rows, predicates or []), ["order_key"], offset, limit)
     rows = reindexed(rows, ["order_key"]).drop("order_key")
@@ -38,7 +38,7 @@ def load(source: DataFrame, predicates: list[Column] | None = None, offset: int
 
 def csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
     """All cells are strings, missing ones empty; without a header columns are named 0, 1, ..."""
-    df = spark.read.option("header", header).option("sep", delimiter).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.option("header", header).option("sep", delimiter).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(resolved(spark, path))
     if not df.columns:
         raise ValueError(f"empty file: {path}")
     names = df.columns if header else [str(k) for k in range(len(df.columns))]
@@ -57,7 +57,7 @@ def _json_rows(texts: DataFrame, path: str) -> DataFrame:
 
 
 def json_file(spark: SparkSession, path: str, json_path: str = "$") -> DataFrame:
-    return _json_rows(spark.read.text(path, wholetext=True), json_path)
+    return _json_rows(spark.read.text(resolved(spark, path), wholetext=True), json_path)
 
 
 def json_text(spark: SparkSession, text: str, json_path: str = "$") -> DataFrame:
@@ -66,7 +66,7 @@ def json_text(spark: SparkSession, text: str, json_path: str = "$") -> DataFrame
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """A row per line: the form for large inputs, which can be split."""
-    rows = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("input_item"))
+    rows = spark.read.text(resolved(spark, path)).select(F.from_json("value", "map<string,string>").alias("input_item"))
     return rows.select(F.monotonically_increasing_id().alias("order_key"), "input_item")
 
 
@@ -77,12 +77,33 @@ def jdbc(spark: SparkSession, url: str, sql: str, driver: str | None = None, **o
     return as_items((reader.option("driver", driver) if driver else reader).load())
 
 
-def http_json(url: str, method: str = "GET", params: dict | None = None, headers: dict | None = None, body: object = None, timeout: float = 120) -> str:
-    """Text of an answer; certificates are verified."""
-    full = f"{url}?{urlencode(params)}" if params else url
-    data = None if body is None else json.dumps(body).encode()
-    with urlopen(Request(full, data, headers or {}, method=method), timeout=timeout) as answer:
-        return answer.read().decode()
+def http_json(url: str, method: str = "GET", params: dict | None = None, headers: dict | None = None, body: object = None, timeout: float = 120, encoding: str = "json", connect_timeout: float = 10) -> str:
+    """Text of an answer; certificates are verified, a status from 400 on is an error."""
+    answer = request(url, method, params, headers, body, encoding, connect_timeout, timeout)
+    if answer.status >= 400:
+        raise OSError(f"status {answer.status} from {url}")
+    return answer.text
+
+
+def fetched(spark: SparkSession, url: str, **call) -> str:
+    """A file behind http(s):// as a path that Spark can read: fetched once by the driver, sent to all executors."""
+    data = request(url, **call)
+    if data.status >= 400:
+        raise OSError(f"status {data.status} from {url}")
+    name = url.split("?")[0].rstrip("/").rpartition("/")[2] or "file"
+    path = scratch(spark, "fetched") + "/" + name
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data.data))
+    finally:
+        out.close()
+    return path
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path of any of Spark's file systems as it is; a URL fetched."""
+    return fetched(spark, path) if path.startswith(("http://", "https://")) else path
 
 
 def api(spark: SparkSession, url: str, json_path: str = "$", transport: Callable[..., str] = http_json, **call) -> DataFrame:
@@ -147,7 +168,7 @@ def xlsx(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
         names = [(k, n) for k, n in enumerate(head) if n.strip()]
         return [{n: r[k] if k < len(r) else "" for k, n in names} for r in rest if any(r)]
 
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(resolved(spark, path))
     return files.select("path", F.posexplode(rows("content")).alias("row", "input_item")).select(F.col("row").cast("bigint").alias("order_key"), "input_item")
 
 

@@ -6,14 +6,18 @@ so a batch that runs twice leaves one copy; readers keep one row per case, which
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.model import RunConfig
+from scorelake.plans.flow import paged
 
 INIT, RUNNING, FINISHED, FAILED = 0, 1, 2, 3
 
@@ -58,6 +62,10 @@ class TaskRegistry:
 class DeltaRun:
     """evaluate maps a batch of cases to results with data_index; it may run again for a batch after a failure.
 
+    Of the config, offset and limit page the cases that load takes, batch_size is the number of cases to a file,
+    message_process_max_time bounds the seconds of a batch, a batch beyond it fails the run, which
+    can be resumed; receive_timeout is how many seconds run waits for a queue that another process loads.
+
     queue: a folder of Parquet files of cases, each up to batch_size of them. With key and order, the cases
     of a key are evaluated in one task and in this order inside a batch; all of a queue loaded by load go
     by key into files, so that they meet in a batch.
@@ -83,6 +91,7 @@ class DeltaRun:
         """Fill the queue once; False if the run has been loaded before. Cases stay in about batch_size to a file."""
         if _exists(self.spark, f"{self.queue}/_SUCCESS"):
             return False
+        items = paged(items, self.config)
         n = items.count()
         files = max(1, -(-n // self.config.batch_size))
         rows = items.repartition(min(files, 100_000), self.key) if self.key is not None else items.repartition(min(files, 100_000))
@@ -95,9 +104,38 @@ class DeltaRun:
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
         if self.key is not None:
             batch = batch.repartition(self.key).sortWithinPartitions(self.key, *self.order)
-        out = self.evaluate(batch)
         # a batch that runs again overwrites what it wrote
-        out.write.mode("overwrite").parquet(f"{self.results}/batch_id={batch_id}")
+        with self._limited(batch_id):
+            self.evaluate(batch).write.mode("overwrite").parquet(f"{self.results}/batch_id={batch_id}")
+
+    @contextmanager
+    def _limited(self, batch_id: int):
+        """Cancel the batch's jobs when its time is over."""
+        context, tag, over = self.spark.sparkContext, f"delta-{self.config.task_name}-{batch_id}-{uuid.uuid4().hex}", threading.Event()
+
+        def cancel() -> None:
+            over.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.config.message_process_max_time, cancel)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            yield
+        except Exception as e:
+            if over.is_set():
+                raise TimeoutError(f"batch {batch_id} took more than {self.config.message_process_max_time} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
+    def wait_for_queue(self) -> bool:
+        """Whether the queue is loaded, at the latest after receive_timeout seconds."""
+        end = time.monotonic() + self.config.receive_timeout
+        while not (there := _exists(self.spark, f"{self.queue}/_SUCCESS")) and time.monotonic() < end:
+            time.sleep(0.2)
+        return there
 
     def start(self):
         """The streaming query over all files of the queue that the checkpoint doesn't have; it ends after them."""
@@ -108,6 +146,8 @@ class DeltaRun:
     def run(self) -> DataFrame:
         """Evaluate what is left, reporting every report_interval seconds and at the end; results of all batches so far."""
         name = self.config.task_name
+        if not self.wait_for_queue():
+            raise TimeoutError(f"no cases came to {self.queue} in {self.config.receive_timeout} s")
         query = self.start()
         try:
             while not query.awaitTermination(self.config.report_interval):
