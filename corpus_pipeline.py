@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
-again as the docs of the next one. All but the last keep the columns of documents.
+again as the docs of the next one. All but the last keep the columns of documents. Empty tables stay
+empty through all stages, and docs may have any other columns, which those before the last keep.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from scorelake.llm.common import read_table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that noisy-or scores below the threshold stay."""
+    """Documents that noisy-or scores below the threshold stay; null, empty and blank texts score 0 and stay, of any length plain texts too."""
     return toxicity.clean(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id stays."""
+    """Of equal texts the document with the smallest doc_id stays, and one of repeated rows.
+
+    Null and empty texts are equal. Documents without doc_id all stay; of an id's rows each different text is judged on its own.
+    """
     return dedup.exact_dedup(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest doc_id stays."""
+    """Of each near-duplicate class the document with the smallest doc_id stays; documents without doc_id or without words stay."""
     return ngram_join.near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or repeated."""
+    """Documents as often as the mix takes them: not at all, once, or repeated. Null source is a source; sources without words aren't taken."""
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its sequence and place in it; repeated documents are packed each time."""
+    """A row per piece with its sequence and place in it; repeated documents are packed each time, null text as its end id alone."""
     return packing.pack(docs)
 
 
