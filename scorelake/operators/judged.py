@@ -40,6 +40,13 @@ def preset_scorer(name: str, items: DataFrame, values: list[Column], factory, **
     return prompt_scorer(items, external.preset_prompt(name, *values), factory, **{"metric": name} | how)
 
 
+def next_queries(items: DataFrame, context: Column, factory: Callable[[], external.ChatModel], model: str = "user", retries: int = 6, wait: float = 10.0) -> DataFrame:
+    """The user's next question in each case, from the conversation so far: rows (data_index, query); null where the model has no answer."""
+    asked = items.select("data_index", external.preset_prompt("next_query", context).alias("prompt"))
+    replies = external.llm(asked, factory, model, retries, wait, valid=lambda reply: bool(reply.strip()))
+    return replies.select("data_index", F.trim("reply").alias("query"))
+
+
 def workflow_scorer(items: DataFrame, factory: Callable[[], external.Transport], score: Callable[[Column], Column], kind: str = "value", reason: Callable[[Column], Column] | None = None, **config) -> DataFrame:
     """Scorer results from the outputs of an external workflow; score and reason read its map of outputs."""
     api = external.api_completion(items, factory).withColumnRenamed("success", "ok")

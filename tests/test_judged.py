@@ -36,6 +36,12 @@ def test_presets(items):
     assert (r.metric, r.score) == ("security", 4.0)
 
 
+def test_next_queries(spark):
+    df = spark.createDataFrame([(0, "1: hi\n"), (1, "bad")], "data_index bigint, c string")
+    rows = judged.next_queries(df, F.col("c"), lambda: lambda p: " and then? " if p.endswith("hi\n") else " ", retries=2, wait=0).orderBy("data_index").collect()
+    assert [r["query"] for r in rows] == ["and then?", None]
+
+
 class Flow:
     def __call__(self, index, item):
         return {"mark": str(len(item["q"]))} if index else None
