@@ -236,23 +236,33 @@ def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, root), root the smallest id; only linked ids.
 
     Alternates large-star and small-star steps, each a few shuffles over the edges; the rounds are
-    written tables, so lost executors cost one round at most. Raises if the rounds don't suffice.
+    written tables, so lost executors cost one round at most. Nodes of more than HOT edges are
+    spread over tasks. Raises if the rounds don't suffice.
     """
-    least = [F.min("b").alias("p")], [F.min("p").alias("m")]
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(max_rounds):
         now = written(now, name)
-        if _stars(now):
+        done, widest = _shape(now)
+        if done:
             return now.selectExpr("a as id", "b as root").union(now.selectExpr("b as id", "b as root").distinct())
         both = now.union(now.selectExpr("b as a", "a as b"))
-        large = with_totals(both, "a", "b", *least).where("b > a").selectExpr("b as a", "least(m, a) as b").distinct()
-        small = with_totals(large, "a", "b", *least).selectExpr("inline(array(struct(a, m as b), struct(b as a, m as b)))")
+        large = _with_least(both, widest > HOT).where("b > a").selectExpr("b as a", "least(m, a) as b").distinct()
+        # here a node has at most an edge for each one that it had
+        small = _with_least(large, widest > HOT).selectExpr("inline(array(struct(a, m as b), struct(b as a, m as b)))")
         now = small.where("a <> b").distinct()
     raise RuntimeError(f"components of {name}: no fixed point in {max_rounds} rounds")
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether each a has one b only and no b is an a."""
+def _with_least(edges: DataFrame, spread: bool) -> DataFrame:
+    """Edges (a, b) with m, the least b of their a."""
+    if spread:
+        return with_totals(edges, "a", "b", [F.min("b").alias("p")], [F.min("p").alias("m")])
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether each a has one b only and no b is an a; and the most edges of a node."""
     ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
-    sides = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return sides.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+    sides = ends.groupBy("a").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = sides.agg(F.count_if(F.expr("up > 1 or (up = 1 and down > 0)")).alias("other"), F.max(F.col("up") + F.col("down")).alias("widest")).first()
+    return row.other == 0, row.widest or 0

@@ -27,7 +27,7 @@ from scorelake.llm.tokens import encoder, vocabulary_path
 CAPACITY = 2048
 END = 0
 #: Words that a worker remembers: fewer than elsewhere, as other operators' workers may be alive beside it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -109,7 +109,11 @@ def test_id_filter(spark):
     assert probably_in(all_, "id", id_filter(ids.limit(0), "id")).count() == 0
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("hot", [5, 10**6])
+def test_components_against_union_find(spark, monkeypatch, hot):
+    from scorelake.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
     draw = random.Random(5)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)]
     root = {}
