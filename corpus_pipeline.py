@@ -8,7 +8,6 @@ empty through all stages, and docs may have any other columns, which those befor
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scorelake.llm import dedup, mixing, ngram_join, packing, toxicity
 from scorelake.llm.common import read_table, written
