@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import dedup, langid, lines, mixing, ngram_join, packing, quality, token_files, toxicity, urls
+from scorelake.llm import dedup, langid, lines, mixing, ngram_join, packing, quality, resampling, token_files, toxicity, urls
 from scorelake.llm.common import read_table
 
 
@@ -149,11 +149,34 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed <= 0.5::DOUBLE * n_words AS kept FROM a
 """
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 of a text's UTF-8 bytes.
+TEXT_CRC32_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, octet_length(encode({0}))), lambda k: ('0x' || substr(hex(encode({0})), 2 * k + 1, 2))::BIGINT),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+OP13_SQL = rf"""
+WITH x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+d AS (SELECT doc_id, unnest(w) AS g FROM x),
+c AS MATERIALIZED (SELECT g, {TEXT_CRC32_SQL.format('g')} % 10000 AS bucket FROM (SELECT g FROM d UNION SELECT g FROM y)),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN c USING (g) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM y JOIN c USING (g) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM y) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM d JOIN c USING (g) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x LEFT JOIN weights USING (doc_id)),
+places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (doc_id)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rank_order_langid, op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op5_rule_ensemble_quality,
-        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules, part_op9_urls,
+        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules, op13_importance_resampling, part_op9_urls,
     )
 }
-ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL}
+ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL, "op13_importance_resampling": OP13_SQL}
