@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import dedup, langid, lines, mixing, ngram_join, packing, quality, resampling, token_files, toxicity, urls
+from scorelake.llm import alignment, dedup, langid, lines, mixing, ngram_join, packing, quality, resampling, token_files, toxicity, urls
 from scorelake.llm.common import read_table
 
 
@@ -149,6 +149,10 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed <= 0.5::DOUBLE * n_words AS kept FROM a
 """
 
+def op11_striped_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -176,7 +180,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rank_order_langid, op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op5_rule_ensemble_quality,
-        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules, op13_importance_resampling, part_op9_urls,
+        op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules,
+        op11_striped_alignment, op13_importance_resampling, part_op9_urls,
     )
 }
 ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL, "op13_importance_resampling": OP13_SQL}
