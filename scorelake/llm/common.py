@@ -155,6 +155,22 @@ def id_filter(ids: DataFrame, key: str) -> IdFilter:
     return out
 
 
+def bitmap(keys: DataFrame, key: str) -> tuple[bytes, int]:
+    """A bitmap over the low bits of keys[key], which are hashes themselves, and its size in bits, a power of two.
+
+    keys is counted first: best a written table. Like an id filter it grows up to 16 MB and then fills up,
+    so the driver may collect it and hand it to workers.
+    """
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
+    bit = F.col(f"`{key}`").bitwiseAND(size - 1)
+    slices = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _SLICE).alias("s")).agg(F.bitmap_construct_agg(F.col("bit") % _SLICE).alias("bits"))
+    out = bytearray(size // 8)
+    for row in slices.collect():
+        out[row.s * (_SLICE // 8) : (row.s + 1) * (_SLICE // 8)] = row.bits
+    return bytes(out), size
+
+
 def _tested(df: DataFrame, key: str, ids: IdFilter, found: str) -> DataFrame:
     """df with a column ``found``: whether its key may be among the filter's ids."""
     slices, bits = fresh("slice", df), fresh("bits", df)

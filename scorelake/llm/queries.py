@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import alignment, dedup, langid, lines, mixing, ngram_join, packing, quality, resampling, token_files, toxicity, urls
+from scorelake.llm import alignment, dedup, langid, lines, mixing, ngram_join, packing, quality, resampling, substrings, token_files, toxicity, urls
 from scorelake.llm.common import read_table
 
 
@@ -153,6 +153,21 @@ def op11_striped_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_tree_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.judge(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN array_to_string(w[i:i + 49], ' ') END AS g FROM u),
+m AS (SELECT g, min(doc_id) AS low FROM x WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, word, i, coalesce(bool_or(doc_id > low) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM x LEFT JOIN m USING (g)),
+k AS (SELECT doc_id, count_if(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -181,7 +196,7 @@ QUERIES = {
     for f in (
         op1_rank_order_langid, op2_bin_slack_packing, op3_merge_index_dedup, op4_repair_token_files, op5_rule_ensemble_quality,
         op6_noisy_or_toxicity, op7_lsh_forest_join, op8_threshold_mixing, op9_boosted_urls, op10_line_frequency_rules,
-        op11_striped_alignment, op13_importance_resampling, part_op9_urls,
+        op11_striped_alignment, op12_suffix_tree_substrings, op13_importance_resampling, part_op9_urls,
     )
 }
-ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL = {"op1_rank_order_langid": OP1_SQL, "op7_lsh_forest_join": OP7_SQL, "part_op9_urls": PART_OP9_SQL, "op3_merge_index_dedup": OP3_SQL, "op8_threshold_mixing": OP8_SQL, "op10_line_frequency_rules": OP10_SQL, "op12_suffix_tree_substrings": OP12_SQL, "op13_importance_resampling": OP13_SQL}
