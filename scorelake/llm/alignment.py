@@ -30,10 +30,12 @@ from scorelake.llm.tokens import Encoder, vocabulary_path
 
 #: Ids of side A in a stripe, and tasks that a stripe's chunks are dealt to.
 ROWS, SALTS = 64, 4
-#: Pairs of documents, and units, with which a chunk ends.
-CHUNK_PAIRS, CHUNK_UNITS = 4_000_000, 120_000
-#: Units that a worker remembers from chunk to chunk.
-REMEMBERED = 60_000
+#: Words, and different units, with which a chunk ends.
+CHUNK_WORDS, CHUNK_UNITS = 700_000, 140_000
+#: Units that are tokenized at a time, and documents whose pairs are looked up at a time.
+BATCH, DOCS = 2000, 128
+#: Bits of a pair's number; above it, units or documents are counted.
+CODE_BITS = 40
 _SPACE_SIGN = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Units of a text with runs of white space: they end before a space or line end between other characters.
@@ -62,45 +64,87 @@ class Aligner:
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(_SPACE_SIGN, " ").encode() for p in pieces]
         self.size_a, self.size_b = len(tokens), len(pieces)
         self.stripes = -(-self.size_a // ROWS)
-
-    def tokens(self, unit: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides of a unit that begins with a space or line end; the model of B puts a space before what it gets."""
-        a = np.frombuffer(self.a.pieces(unit), "<u4").tolist()
-        return a, self.b.encode(unit[1:], num_threads=1) if unit[0] == " " else self.b.encode(unit, num_threads=1)[1:]
-
-    def groups(self, unit: str) -> list[tuple[list[int], list[int]]] | None:
-        """Ids of A and B between common borders; None if the bytes of one side aren't the unit's."""
-        a, b = self.tokens(unit)
-        size_a, size_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        plain = unit.encode()
-        if b"".join(size_a) != plain or b"".join(size_b) != plain:
-            return None
-        out, i, j, end_a, end_b = [], 0, 0, 0, 0
-        while i < len(a):
-            first_a, first_b = i, j
-            end_a, end_b, i, j = end_a + len(size_a[i]), end_b + len(size_b[j]), i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a, i = end_a + len(size_a[i]), i + 1
-                else:
-                    end_b, j = end_b + len(size_b[j]), j + 1
-            out.append((a[first_a:i], b[first_b:j]))
-        return out
+        most = self.stripes * ROWS * self.size_b
+        if most > 1 << CODE_BITS:
+            raise ValueError("the vocabularies have too many pairs")
+        self.kind = np.uint32 if most <= 1 << 32 else np.uint64
+        self.width = max(self.size_a, self.size_b)
+        #: Decimal ids and what follows them: a comma, a bar, or a semicolon.
+        self.written = [str(i).encode() + sign for sign in (b",", b"|", b";") for i in range(self.width)]
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides of a text that begins with a space or line end; the model of B puts a space before what it gets."""
+        a = np.frombuffer(self.a.pieces(text), "<u4").tolist()
+        return a, self.b.encode(text[1:], num_threads=1) if text[0] == " " else self.b.encode(text, num_threads=1)[1:]
 
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """One number for a pair, in the order of stripe, row in it, and id of B."""
-        return ((a % self.stripes * ROWS + a // self.stripes) * self.size_b + b).astype(np.uint64)
+        return ((a % self.stripes * ROWS + a // self.stripes) * self.size_b + b).astype(self.kind)
+
+    def units(self, units: list[str]) -> "Units":
+        """All units aligned: ordinary ones many at a time, for they meet at borders of both sides; others one by one."""
+        out = Units(self, len(units))
+        plain = [k for k, u in enumerate(units) if u[0] in " \n" and u[1:] and not u[1].isspace() and not u[-1].isspace()]
+        for at in range(0, len(plain), BATCH):
+            some = plain[at : at + BATCH]
+            if not out.add(some, [units[k] for k in some]):  # some unit's bytes differ
+                for k in some:
+                    out.add([k], [units[k]])
+        for k in sorted({*range(len(units))}.difference(plain)):
+            out.add([k], [units[k]])
+        out.finish()
+        return out
+
 
-    def unit(self, unit: str) -> tuple | None:
-        """Text of the groups, numbers of tokens, groups and links, different pairs and how many links each has."""
-        groups = self.groups(unit)
-        if groups is None:
-            return None
-        a = np.array([x for p, q in groups for x in p for _ in q], np.int64)
-        b = np.array([y for p, q in groups for _ in p for y in q], np.int64)
-        codes, times = np.unique(self.code(a, b), return_counts=True)
-        text = ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups)
-        return text.encode(), sum(len(p) for p, _ in groups), sum(len(q) for _, q in groups), len(groups), len(a), codes, times
+class Units:
+    """What each unit has: text of its groups, numbers of tokens, groups and links, different pairs and how many links each has; ``good`` tells those whose bytes are the text's."""
+
+    def __init__(self, align: Aligner, n: int):
+        self.align, self.texts, self.good = align, [b""] * n, np.zeros(n, bool)
+        self.counts = np.zeros((n, 4), np.int64)
+        self.pairs: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, places: list[int], units: list[str]) -> bool:
+        """Align units one after the other as one text; False if the bytes of one side aren't the text's."""
+        align, text = self.align, "".join(units)
+        plain = text.encode()
+        ids_a, ids_b = align.tokens(text)
+        part_a, part_b = [align.bytes_a[i] for i in ids_a], [align.bytes_b[i] for i in ids_b]
+        if b"".join(part_a) != plain or b"".join(part_b) != plain:
+            return False
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum([*map(len, part_a)]), np.cumsum([*map(len, part_b)])
+        borders = np.intersect1d(ends_a, ends_b)
+        group_a, group_b = np.searchsorted(borders, ends_a), np.searchsorted(borders, ends_b)
+        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        own = np.searchsorted(np.cumsum([len(u.encode()) for u in units]), borders)  # of each group, its unit
+        n, at = len(units), np.array(places)
+        for k, per_group in enumerate((n_a, n_b, np.ones(len(borders)), n_a * n_b)):
+            self.counts[at, k] = np.bincount(own, per_group, n)
+        # links: each id of A with all ids of B in its group
+        times = n_b[group_a]
+        first_b = np.cumsum(n_b) - n_b
+        self.pairs.append(align.code(np.repeat(a, times), b[_ragged(first_b[group_a], times)]))
+        self.owners.append(at[np.repeat(own[group_a], times)])
+        # an id of A is followed by a comma or, at its group's end, by a bar; one of B by a comma or a semicolon
+        last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True]
+        signs = np.r_[a + align.width * last_a, b + align.width * 2 * last_b]
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        words = [*map(align.written.__getitem__, signs[order].tolist())]
+        ends = np.cumsum(np.bincount(own, n_a + n_b, n).astype(np.int64)).tolist()
+        for place, start, end in zip(places, [0, *ends], ends, strict=False):
+            self.texts[place] = b"".join(words[start:end])
+        self.good[at] = True
+        return True
+
+    def finish(self) -> None:
+        """Different pairs of each unit, sorted, with how many links they have; unit k's are at starts[k] : starts[k + 1]."""
+        key = _joined(self.owners, np.uint64) << np.uint64(CODE_BITS) | _joined(self.pairs, np.uint64)
+        key, times = np.unique(key, return_counts=True)
+        self.codes, self.times = (key & np.uint64((1 << CODE_BITS) - 1)).astype(self.align.kind), times.astype(np.uint32)
+        self.starts = np.searchsorted(key >> np.uint64(CODE_BITS), np.arange(len(self.good) + 1).astype(np.uint64))
+        self.pairs, self.owners = [], []
 
 
 @lru_cache(1)
@@ -115,25 +159,13 @@ class _Odd(Exception):
 class Chunk:
     """Documents that are asked about together; its units have places in the order in which they came."""
 
-    def __init__(self, align: Aligner, known: dict[str, tuple | None]):
-        self.align, self.known, self.places, self.units = align, known, _Places(self), []
-        self.docs, self.nulls, self.counts, self.digests, self.found, self.times, self.sizes = [], [], [], [], [], [], []
-        self.asked: list[np.ndarray] = []
-        self.pairs = 0
-
-    def place(self, key: str, unit: str) -> int:
-        """-1 for a unit whose bytes differ."""
-        if key not in self.known:
-            self.known[key] = self.align.unit(unit)
-        entry = self.known[key]
-        if entry is None:
-            return -1
-        self.units.append(entry)
-        return len(self.units) - 1
+    def __init__(self, align: Aligner):
+        self.align, self.places, self.units = align, _Places(self), []
+        self.docs: list[int | None] = []
+        self.words: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, doc: int | None, text: str | None) -> None:
-        self.docs.append(0 if doc is None else doc)
-        self.nulls.append(doc is None)
         places: list[int] = []
         if text:
             try:
@@ -141,49 +173,55 @@ class Chunk:
                 places = [*map(self.places.__getitem__, text.replace("\n", " \n").split(" "))]
             except _Odd:
                 places = [self.places.of(u) for u in _CUT.split(" " + text)]
-        if not places or -1 in places:
-            self.counts.append((0, 0, 0, 0))
-            self.digests.append(b"")
-            self.sizes.append(0)
-            return
-        units = self.units
-        self.digests.append(hashlib.sha256(b";".join([units[p][0] for p in places])).digest())
-        found, times = np.unique(np.array(places, np.int32), return_counts=True)
-        rows = [units[p] for p in found.tolist()]
-        self.counts.append(tuple((np.array([r[k] for r in rows]) * times).sum() for k in (1, 2, 3, 4)))
-        self.found.append(found)
-        self.times.append(times.astype(np.uint32))
-        self.sizes.append(len(found))
-        pairs = np.unique(np.concatenate([r[5] for r in rows]))
-        self.asked.append(pairs)
-        self.pairs += len(pairs)
+        self.docs.append(doc)
+        self.words.append(np.array(places, np.int32))
+        self.size += len(places) + 1
 
     def full(self) -> bool:
-        return self.pairs >= CHUNK_PAIRS or len(self.units) >= CHUNK_UNITS or len(self.docs) >= CHUNK_UNITS
+        return self.size >= CHUNK_WORDS or len(self.units) >= CHUNK_UNITS
 
     def batch(self, number: int) -> pa.RecordBatch:
         """A row of all documents (stripe -1), and one for each stripe with its different pairs and how many documents hold each."""
-        align, span = self.align, ROWS * self.align.size_b
-        codes, held = np.unique(_joined(self.asked, np.uint64), return_counts=True)
+        align, span, units = self.align, ROWS * self.align.size_b, self.align.units(self.units)
+        found, times, digests = [], [], []
+        for places in self.words:
+            some, n = np.unique(places, return_counts=True)
+            if not len(some) or not units.good[some].all():
+                some, n = some[:0], n[:0]
+                digests.append(b"")
+            else:
+                digests.append(hashlib.sha256(b"".join(map(units.texts.__getitem__, places.tolist()))[:-1]).digest())
+            found.append(some)
+            times.append(n)
+        sizes, found, times = np.array([len(f) for f in found], np.int64), _joined(found, np.int64), _joined(times, np.int64)
+        asked, lengths, ends = [], np.diff(units.starts), np.cumsum(sizes)
+        for k in range(0, len(sizes), DOCS):  # each document's pairs once
+            a, b = int(ends[k] - sizes[k]), int(ends[min(k + DOCS, len(sizes)) - 1])
+            some = found[a:b]
+            owner = np.repeat(np.repeat(np.arange(len(sizes[k : k + DOCS])), sizes[k : k + DOCS]), lengths[some])
+            key = owner.astype(np.uint64) << np.uint64(CODE_BITS) | units.codes[_ragged(units.starts[some], lengths[some])]
+            asked.append((np.unique(key) & np.uint64((1 << CODE_BITS) - 1)).astype(align.kind))
+        codes, held = np.unique(_joined(asked, align.kind), return_counts=True)
+        del asked
         stripes = codes // span
         cuts = np.flatnonzero(np.r_[True, stripes[1:] != stripes[:-1]]) if len(codes) else np.zeros(0, int)
-        ends = np.r_[cuts[1:], len(codes)]
+        last = np.r_[cuts[1:], len(codes)]
         inside, held = (codes % span).astype("<u4"), held.astype("<u4")
-        of_units = np.searchsorted(codes, _joined([u[5] for u in self.units], np.uint64)).astype("<u4")
         body = {
-            "docs": np.array(self.docs, "<i8"),
-            "nulls": np.array(self.nulls, "u1"),
-            "counts": np.array(self.counts, "<i8").reshape(-1, 4),
-            "digests": np.frombuffer(b"".join(d or bytes(32) for d in self.digests), "u1"),
-            "plain": np.array([bool(d) for d in self.digests], "u1"),
-            "sizes": np.array(self.sizes, "<u4"),
-            "found": _joined(self.found, "<u4"),
-            "times": _joined(self.times, "<u4"),
-            "unit_sizes": np.array([len(u[5]) for u in self.units], "<u4"),
-            "unit_pairs": of_units,
-            "unit_times": _joined([u[6] for u in self.units], "<u4"),
+            "docs": np.array([0 if d is None else d for d in self.docs], "<i8"),
+            "nulls": np.array([d is None for d in self.docs], "u1"),
+            "counts": np.stack([_runs(units.counts[found, k] * times, sizes) for k in range(4)], 1).astype("<i8"),
+            "digests": np.frombuffer(b"".join(d or bytes(32) for d in digests), "u1"),
+            "plain": np.array([bool(d) for d in digests], "u1"),
+            "sizes": sizes.astype("<u4"),
+            "found": found.astype("<u4"),
+            "times": times.astype("<u4"),
+            "unit_sizes": lengths.astype("<u4"),
+            # units of documents without tokens ask for nothing and are in no other document's sums
+            "unit_pairs": np.minimum(np.searchsorted(codes, units.codes), max(0, len(codes) - 1)).astype("<u4"),
+            "unit_times": units.times.astype("<u4"),
         }
-        part = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+        part = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, last, strict=True)]
         n = len(cuts)
         return pa.RecordBatch.from_arrays(
             [
@@ -208,8 +246,12 @@ class _Places(dict):
         core = key[1:] if key[:1] == "\n" else key
         if not core or core[0].isspace() or core[-1].isspace():
             raise _Odd
-        self[key] = out = self.chunk.place(key, key if key[0] == "\n" else " " + key)
-        return out
+        return self.put(key, key if key[0] == "\n" else " " + key)
+
+    def put(self, key: str, unit: str) -> int:
+        self[key] = len(self.chunk.units)
+        self.chunk.units.append(unit)
+        return self[key]
 
     def of(self, unit: str) -> int:
         """Place of any unit; those that a key can't tell are under their text with a mark that keys can't begin with."""
@@ -217,23 +259,30 @@ class _Places(dict):
         if core and not core[0].isspace() and not core[-1].isspace():
             return self[unit if unit[0] == "\n" else core]
         key = " " + unit
-        if key not in self:
-            self[key] = self.chunk.place(key, unit)
-        return self[key]
+        return dict.__getitem__(self, key) if key in self else self.put(key, unit)
 
 
 def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(arrays).astype(kind, copy=False) if arrays else np.zeros(0, kind)
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _packed(fields: dict[str, np.ndarray]) -> bytes:
-    return np.array([a.nbytes for a in fields.values()], "<i8").tobytes() + b"".join(a.tobytes() for a in fields.values())
+    """Sizes and values of the fields, compressed after their size."""
+    data = np.array([a.nbytes for a in fields.values()], "<i8").tobytes() + b"".join(a.tobytes() for a in fields.values())
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 _FIELDS = {"docs": "<i8", "nulls": "u1", "counts": "<i8", "digests": "u1", "plain": "u1", "sizes": "<u4", "found": "<u4", "times": "<u4", "unit_sizes": "<u4", "unit_pairs": "<u4", "unit_times": "<u4"}
 
 
 def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     sizes, at, out = np.frombuffer(data, "<i8", len(_FIELDS)).tolist(), 8 * len(_FIELDS), {}
     for (name, kind), n in zip(_FIELDS.items(), sizes, strict=True):
         out[name] = np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at)
@@ -248,17 +297,14 @@ def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Chunks of documents and their questions by stripe, see Chunk.batch; whoever reads them twice must write them first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, number, known = aligner(path_a, path_b), TaskContext.get().partitionId() << 32, {}
-        chunk = Chunk(align, known)
+        align, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
+        chunk = Chunk(align)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 chunk.add(doc, text.as_py())
                 if chunk.full():
                     yield chunk.batch(number)
-                    number += 1
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    chunk = Chunk(align, known)
+                    number, chunk = number + 1, Chunk(align)
         if chunk.docs:
             yield chunk.batch(number)
 

@@ -30,11 +30,12 @@ def grams(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
     if (least, most) == (1, 1):
         return words
-    runs = [
-        F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i, n=n: F.array_join(F.slice(words, i + 1, n), " "))
-        for n in range(least, most + 1)
-    ]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        first = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.transform(first, lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
+
+    return F.concat(*map(runs, range(least, most + 1)))
 
 
 def bucket(gram: Column, buckets: int) -> Column:

@@ -110,7 +110,7 @@ def test_chunks_ask_once_and_add_up(sides):
     _, counts, _ = brute(sides, rows)
     seen = Counter()
     for part in (rows[:7], rows[7:8], rows[8:]):
-        chunk = alignment.Chunk(align, {})
+        chunk = alignment.Chunk(align)
         for r in part:
             chunk.add(*r)
         batch = chunk.batch(5)
