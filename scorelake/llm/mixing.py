@@ -2,7 +2,9 @@
 
 Tokens are summed by source and hash bucket; a source's budget ends inside one bucket, and only that
 bucket is refined, with the next bits of the hash, until a single hash is left. Documents whose
-hash is below the threshold are taken: no sort, and a larger budget takes all that a smaller one does.
+hash is below the threshold are taken: no sort, and a larger budget takes all that a smaller one does. Where
+several documents share the hash at a threshold, as rows without id do, they are told apart in the same way by a
+hash of their text, and equal texts by their place in the input.
 """
 
 from __future__ import annotations
@@ -46,35 +48,78 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(share, F.col("cap").cast("double"))).alias("target"))
 
 
-def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """source, bound: documents (source, size, hash) with hash < bound fill the budget.
-
-    The document at the boundary is taken if its source's sum comes nearer to the budget with it.
-    """
+def _boundary(docs: DataFrame, budgets: DataFrame, hash_: str) -> DataFrame:
+    """source, at, fits, n, budget: the hash value at which each source's budget ends, whether its documents still fit, how many they are, and what is left for them."""
     open_ = budgets.select("source", "budget", F.lit(0).cast("bigint").alias("prefix"))
     for shift in range(BITS - STEP, -1, -STEP):
         # of the open bucket only: its sums by the next bits
         o = open_.select(F.col("source").alias("s"), "budget", "prefix")
-        inside = docs.join(o, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + STEP) == F.col("prefix")))
-        sums = inside.groupBy("source", "budget", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        inside = docs.join(o, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(hash_, shift + STEP) == F.col("prefix")))
+        sums = inside.groupBy("source", "budget", F.shiftright(hash_, shift).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         run = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("size").over(run)).withColumn("last", F.lead("bucket").over(run).isNull())
         # the first bucket that goes beyond the budget; if none does, the end of the last one
-        first = sums.where((F.col("upto") > F.col("budget")) | F.col("last")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "budget")).alias("x"))
-        open_ = written(first.select("source", (F.col("x.budget") - F.col("x.upto") + F.col("x.size")).alias("budget"), F.col("x.bucket").alias("prefix"), (2 * F.col("x.upto") - F.col("x.size") <= 2 * F.col("x.budget")).alias("fits")), "mix_bounds")
-    return open_.select("source", (F.col("prefix") + F.col("fits").cast("int")).alias("bound"))
+        first = sums.where((F.col("upto") > F.col("budget")) | F.col("last")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "budget", "n")).alias("x"))
+        fits = 2 * F.col("x.upto") - F.col("x.size") <= 2 * F.col("x.budget")
+        open_ = written(first.select("source", (F.col("x.budget") - F.col("x.upto") + F.col("x.size")).alias("budget"), F.col("x.bucket").alias("prefix"), fits.alias("fits"), F.col("x.n").alias("n")), "mix_bounds")
+    return open_.withColumnRenamed("prefix", "at")
+
+
+def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
+    """source, bound: documents (source, size, hash) with hash < bound fill the budget.
+
+    The documents of the hash at the boundary are taken if their source's sum comes nearer to the budget with them.
+    """
+    return _boundary(docs, budgets, "hash").select("source", (F.col("at") + F.col("fits").cast("int")).alias("bound"))
+
+
+#: Columns by which documents are taken, one after the other among equal ones.
+KEYS = ("hash", "text_hash", "row")
+
+
+def bounds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
+    """source, bound: an array; documents (source, size, hash, text_hash, row) whose three hashes are below it, compared from the first on, fill the budget."""
+    done, open_, above = None, budgets, F.array().cast("array<bigint>")
+    for k, hash_ in enumerate(KEYS):
+        found = _boundary(docs, open_, hash_)
+        if k:
+            found = found.join(open_.select(F.col("source").alias("t"), "above"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
+        found = found.withColumn("above", F.col("above") if k else above)
+        whole = found if k == len(KEYS) - 1 else found.where("n <= 1")
+        end = F.concat("above", F.array(F.col("at") + F.col("fits").cast("int")), F.array_repeat(F.lit(0).cast("bigint"), len(KEYS) - 1 - k))
+        ended = whole.select("source", end.alias("bound"))
+        done = ended if done is None else done.unionByName(ended)
+        more = found.where("n > 1")
+        if k == len(KEYS) - 1 or more.isEmpty():
+            return done
+        open_ = written(more.select("source", "budget", F.concat("above", F.array("at")).alias("above")), "mix_ties")
+        o = open_.select(F.col("source").alias("s"), F.element_at("above", -1).alias("tied"))
+        docs = docs.join(o, F.col("source").eqNullSafe(F.col("s")) & (F.col(hash_) == F.col("tied"))).drop("s", "tied")
+
+
+def below(bound: Column, keys: tuple[Column, ...]) -> Column:
+    """Whether keys are below a bound, compared from the first on; false without a bound."""
+    out = F.lit(False)
+    for k in reversed(range(len(keys))):
+        out = (keys[k] < bound[k]) | ((keys[k] == bound[k]) & out)
+    return F.coalesce(out, F.lit(False))
+
+
+def _keys(doc_id: Column, text: Column) -> tuple[Column, ...]:
+    return id_hash(doc_id), id_hash(F.coalesce(text, F.lit(""))), F.monotonically_increasing_id()
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
     """Sizes and hashes of all rows; and for each source how often all are taken, and the bound below which once more."""
-    rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix_sizes")
+    keys = (c.alias(k) for c, k in zip(_keys(F.col("doc_id"), F.col("text")), KEYS, strict=True))
+    rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keys), "mix_sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     goals = written(targets(sizes, weights, repeats).withColumn("whole", whole), "mix_targets")
     budgets = goals.select("source", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    bounds = thresholds(rows, budgets.where("budget > 0")).select(F.col("source").alias("t"), "bound")
-    known = goals.join(bounds, F.col("source").eqNullSafe(F.col("t")), "left")
-    bound = F.coalesce("bound", F.lit(0)).alias("__bound")
+    ends = bounds(rows, budgets.where("budget > 0")).select(F.col("source").alias("t"), "bound")
+    known = goals.join(ends, F.col("source").eqNullSafe(F.col("t")), "left")
+    bound = F.col("bound").alias("__bound")
     return rows, known.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), bound)
 
 
@@ -82,12 +127,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     """Rows (doc_id, size, source_size, target, taken, copies), one per row of docs (doc_id, text, source).
 
     Each document is taken floor(target / source_size) times, and once more if its hash is below the
-    source's threshold. Null text has size 0; null source is a source of its own, the last one; rows
-    with one doc_id share a hash and fate, rows without doc_id have hash 0. A source without words
-    has target 0 and isn't taken. An empty table gives no rows.
+    source's threshold. Null text has size 0; null source is a source of its own, the last one; rows without
+    doc_id have hash 0. Rows with one hash are told apart at a threshold by their texts, and equal rows
+    by their places: which of these are taken is a matter of chance, but not how many. A source
+    without words has target 0 and isn't taken. An empty table gives no rows.
     """
     rows, known = plan(docs, weights, repeats)
-    copies = F.col("__whole") + (F.col("hash") < F.col("__bound")).cast("bigint")
+    copies = F.col("__whole") + below(F.col("__bound"), tuple(map(F.col, KEYS))).cast("bigint")
     out = rows.join(known, F.col("source").eqNullSafe(F.col("__source")))
     return out.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
@@ -95,12 +141,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix as rows of docs with all their columns, each as often as it is taken; see mix.
 
-    Taken rows are told by source and hash, so texts aren't shuffled: a row per source is joined.
+    Taken rows are told by source and hashes, so texts aren't shuffled: a row per source is joined. docs are
+    read twice and should be files or a written table, whose rows keep their places.
     An empty table gives no rows; columns of docs may have any names.
     """
-    names = [fresh(f"mix_{c}", docs) for c in ("source", "whole", "bound", "copy")]
-    source, whole, bound, copy = names
+    names = [fresh(f"mix_{c}", docs) for c in ("source", "whole", "bound", "copy", *KEYS)]
+    source, whole, bound, copy, *keys = names
     known = plan(docs, weights, repeats)[1].select(F.col("__source").alias(source), F.col("__whole").alias(whole), F.col("__bound").alias(bound))
-    out = docs.join(known, F.col("source").eqNullSafe(F.col(source)))
-    copies = (F.col(whole) + (id_hash(F.col("doc_id")) < F.col(bound)).cast("bigint")).cast("int")
+    numbered = docs.withColumns(dict(zip(keys, _keys(F.col("doc_id"), F.col("text")), strict=True)))
+    out = numbered.join(known, F.col("source").eqNullSafe(F.col(source)))
+    copies = (F.col(whole) + below(F.col(bound), tuple(map(F.col, keys))).cast("bigint")).cast("int")
     return out.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop(*names)

@@ -90,7 +90,7 @@ def op8_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash FROM documents),
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash, md5(coalesce(text, '')) AS text_hash FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS left_size, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS left_weight FROM w
@@ -100,7 +100,7 @@ t AS (SELECT l.source, l.source_size, CASE WHEN l.left_size * l.weight > l.cap *
   ELSE least((f.left_size * l.weight)::DOUBLE / f.left_weight::DOUBLE, l.cap::DOUBLE) END AS target FROM l, f),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, floor(b.target - b.whole * b.source_size)::BIGINT AS budget,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.hash) AS own
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.text_hash ROWS UNBOUNDED PRECEDING) AS upto, d.size AS own
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN budget > 0 AND 2 * upto - own <= 2 * budget THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """

@@ -58,6 +58,24 @@ def test_a_larger_budget_takes_all_that_a_smaller_one_does(spark, make):
         before = ids
 
 
+def test_rows_that_share_a_hash_are_taken_apart(make):
+    """Sources of rows without id, of one id with several texts, and of equal rows come near their targets."""
+    draw = random.Random(8)
+    text = lambda: " ".join(draw.choices("abcdefgh", k=draw.randint(1, 30)))
+    rows = [(None, text(), "en", "none") for _ in range(300)] + [(7, text(), "en", "one") for _ in range(300)] + [(None, "equal words here", "en", "same") for _ in range(300)]
+    rows += [(k, text(), "en", "zfull") for k in range(1000, 1300)]
+    got = mixing.mix(make(rows)).collect()
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        targets[r.source_size] = r.target
+    assert len(targets) == 4 and all(abs(taken[s] - t) <= 31 for s, t in targets.items())
+    again = mixing.mix(make(rows, parts=7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    out = mixing.mixed(make(rows, parts=1))
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(taken.values())
+
+
 def test_mix_of_odd_rows(odd, none, make):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
