@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     """Write the token ids of documents (doc_id, text), each with an end id, in order of doc_id.
 
     Null text counts as empty; documents without doc_id come first; of repeated ids each row is a
-    document. A shard ends with the document that brings it to ``shard_tokens``, and a longer
+    document, by its text's hash and then its text among rows of one id. A shard ends with the document that brings it to ``shard_tokens``, and a longer
     text makes a longer shard. An empty table gives no shards; other columns aren't looked at.
     """
     tokenizer = tokenizer or vocabulary_path()
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(NO_ID if doc is None else doc)
-                parts.append(code(text.as_py() or "") + end)
+                parts.append(code(text.as_py()) + end)
                 size += len(parts[-1]) // 4
                 if size >= shard_tokens:
                     yield flushed()
@@ -213,7 +213,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         if ids:
             yield flushed()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["doc_id", F.xxhash64("text")]  # rows of one id have a defined order, and are split over tasks if they are many
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(encode, "part int, shard int, tokens bigint, data binary").write.option("compression", "zstd").parquet(path)
 
 

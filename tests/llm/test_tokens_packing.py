@@ -177,3 +177,9 @@ def test_written_shards_leave_no_frequent_pair(make, tmp_path):
         shard = token_files.Shard(row.data)
         left = Counter(p for a, b in zip(shard.symbols, shard.symbols[1:], strict=False) for p in zip(shard.seq[a:b].tolist(), shard.seq[a + 1 : b].tolist(), strict=False))
         assert max(left.values()) < 4 and len(shard.rules) < (1 << 16) - 50257
+
+
+def test_rows_of_one_id_have_one_order(make):
+    rows = [(None if k % 3 else 5, " ".join(["ab", "naïve", "x"][: k % 4]) + f" {k % 17}", "en", "a") for k in range(200)]
+    first, again = (sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.round_trip(make(rows, parts=p), shard_tokens=300).collect()) for p in (2, 7))
+    assert first == again and len({r[0] for r in first}) == 200
