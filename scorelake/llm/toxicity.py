@@ -2,8 +2,10 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of its words, a
 document's score the noisy-or of its sentences' scores: the chance that one at least is toxic. Weights
-are learned from labels of documents alone; sentence scores then tell where the offence is. A sentence
-without a known feature has score 0, so plain sentences add nothing, however many there are.
+are learned from labels of documents alone; sentence scores then tell where the offence is. Only features that
+are more frequent in documents with label 1 are known, their weights aren't negative, and what a sentence has without any
+is held below the least score that counts; lower ones are 0. So plain and harmless sentences add
+nothing, however many there are.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ STEPS, RATE, RIDGE = 500, 0.1, 1e-4
 #: Entries of a table of counts before a task passes it on.
 COUNTS = 100_000
 FROM = 0.3
+#: Least score of a sentence, lower ones are 0; and the most that the common part of all scores may be, a score of 0.05.
+SENTENCE_FROM, BASE = 0.1, -3.0
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -66,10 +70,11 @@ class Model:
         found = sorted(self._words & words)
         for k, stems in self._stems:
             found += sorted(s + "-" for s in stems & {w[:k] for w in words if len(w) > k})
-        return float(_sigmoid(self.base + sum(self.weights[f] for f in found))) if found else 0.0
+        p = float(_sigmoid(self.base + sum(self.weights[f] for f in found))) if found else 0.0
+        return p if p >= SENTENCE_FROM else 0.0
 
     def sentence(self, text: str) -> float:
-        """Score of a sentence from the different words and stems in it; 0 if none is known."""
+        """Score of a sentence from the different words and stems in it; 0 if none is known or it is below SENTENCE_FROM."""
         return self._score(text.lower())
 
     def located(self, text: str | None) -> tuple[float, int | None, str | None, float]:
@@ -140,7 +145,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, size: int = WORDS) -> list[str]:
-    """Features that tell labels apart, by documents or by different words; the strongest first, ties by name.
+    """Features that speak for label 1, by documents or by different words; the strongest first, ties by name.
 
     The driver sees the features of several documents of the bounded sample.
     """
@@ -156,6 +161,8 @@ def vocabulary(counts: DataFrame, size: int = WORDS) -> list[str]:
     more = rows["pos_words"].to_numpy() * total.words > rows["words"].to_numpy() * total.pos_words
     pooled = (by_word > GAIN_POOLED) & (rows["pos"].to_numpy() >= LEAST_POOLED) & more
     plain = (by_doc > GAIN) & (rows["n"].to_numpy() >= LEAST)
+    speaks = rows["pos"].to_numpy() * total.n > rows["n"].to_numpy() * total.pos
+    plain, pooled = plain & speaks, pooled & speaks
     strength = np.maximum(np.where(plain, by_doc, 0), np.where(pooled, by_word, 0))
     names = rows["feature"].tolist()
     return [names[k] for k in np.argsort(-strength, kind="stable")[:size] if strength[k] > 0]
@@ -179,7 +186,7 @@ def _known(texts: DataFrame, words: list[str]) -> pd.DataFrame:
 
 
 def fit(words: list[str], sizes: list, places: list, y: np.ndarray) -> Model:
-    """Maximise the likelihood of document labels under noisy-or by Adam steps.
+    """Maximise the likelihood of document labels under noisy-or by Adam steps, with weights of 0 or more and a base of at most BASE.
 
     sizes: for each document, how many features each of its sentences with any has; places: these
     features, one sentence after the other.
@@ -200,6 +207,8 @@ def fit(words: list[str], sizes: list, places: list, y: np.ndarray) -> Model:
         grad = np.r_[np.bincount(cols, by_sentence[rows], len(words)), by_sentence.sum()] / len(y) + RIDGE * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
+        w[-1] = min(w[-1], BASE)
     return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 

@@ -232,6 +232,23 @@ def test_toxic_documents_of_driver_tables_are_found(spark):
     assert found > 0.8 * toxic and wrong <= 1, (found, toxic, wrong)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_harmless_features_never_add_up(spark):
+    """Features that are no more frequent in toxic documents than elsewhere, each alone in 100,000 sentences."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert min(model.weights.values()) >= 0 and toxicity._sigmoid(model.base) < toxicity.SENTENCE_FROM
+    counts = toxicity.counted(toxicity.labelled_texts(docs, labels, "toxic", 4, 2, toxicity.SAMPLE)).where("feature not like '%-'").toPandas().set_index("feature")
+    total = counts.loc[""]
+    harmless = counts[(counts.index != "") & (counts.n >= 4) & (counts.pos * total.n <= counts.n * total.pos)].index
+    assert len(harmless) > 200
+    strongest = counts.loc[harmless].sort_values("n", ascending=False).index
+    plain = [f for f in strongest if not any(f.startswith(w[:-1]) for w in model.weights if w[-1] == "-" and len(f) >= len(w))]
+    for f in plain[:25]:
+        assert model.document(f"{f} {f}. " * 100_000) == 0
+    assert all(model.sentence(f) == 0 for f in plain)
+
+
 def plain_statistics(text):
     words, lines = text.split(), [x.strip() for x in text.split("\n") if x.strip()]
     raw, w = text.encode(), max(1, len(words))
