@@ -31,7 +31,7 @@ from scorelake.llm.tokens import Encoder, vocabulary_path
 #: Ids of side A in a stripe, and tasks that a stripe's chunks are dealt to.
 ROWS, SALTS = 64, 4
 #: Words, and different units, with which a chunk ends.
-CHUNK_WORDS, CHUNK_UNITS = 700_000, 140_000
+CHUNK_WORDS, CHUNK_UNITS = 1_200_000, 240_000
 #: Units that are tokenized at a time, and documents whose pairs are looked up at a time.
 BATCH, DOCS = 2000, 128
 #: Bits of a pair's number; above it, units or documents are counted.
