@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.values import get_or, put
 from scorelake.model import scratch
+from scorelake.operators import ranks
 
 
 def filter_all(df: DataFrame, predicates: list[Column]) -> DataFrame:
@@ -17,14 +18,55 @@ def filter_all(df: DataFrame, predicates: list[Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, (F.coalesce(p, F.lit(False)) for p in predicates), F.lit(True)))
 
 
+#: Rows, skipped ones included, up to which a page is sorted out by its tasks and merged in one.
+SMALL_PAGE = 10_000
+
+
 def sliced(df: DataFrame, order: list, offset: int = 0, limit: int = -1) -> DataFrame:
     """A page of the rows in this order. Without a limit (below 0) the offset doesn't count; limit 0 gives none.
 
-    Sorting and limiting keep offset + limit rows per task at most; nothing is collected in one task besides.
+    Pages that end within SMALL_PAGE rows are sorted, up to that many rows for each task. Others are a filter: the keys at
+    both ends are found by histograms of the order's columns, and the page's rows stay in
+    their partitions. Among rows of equal keys at an end, their place in the input decides. Orders
+    of other columns than whole numbers, dates, times and booleans by name index all rows and filter the index.
     """
     if limit < 0:
         return df
-    return df.orderBy(*order).offset(offset).limit(limit) if limit else df.limit(0)
+    if limit == 0:
+        return df.limit(0)
+    if offset + limit <= SMALL_PAGE:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    keys = ranks.whole_keys(df, order)
+    if keys is None:
+        name = _free(df, "place")
+        return reindexed(df, order, name).where(F.col(name).between(offset, offset + limit - 1)).drop(name)
+    first, end = ranks.place(df, keys, offset), ranks.place(df, keys, offset + limit)
+    if first is None:
+        return df.limit(0)
+    less, equal = ranks.compared(keys, first.keys)
+    after, from_ = ~(less | equal), ~less
+    before = ranks.compared(keys, end.keys)[0] if end else F.lit(True)
+    if end is not None and end.keys == first.keys:
+        return _numbered_between(df.where(equal), first.before, end.before)
+    page = df.where((after if first.before else from_) & before)
+    if first.before:
+        page = page.unionByName(_numbered_between(df.where(equal), first.before, first.ties))
+    if end is not None and end.before:
+        page = page.unionByName(_numbered_between(df.where(ranks.compared(keys, end.keys)[1]), 0, end.before))
+    return page
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _numbered_between(df: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows from start up to end, not included, in the order of the input; only counts by partition meet."""
+    name = _free(df, "place")
+    return _numbered(df, name).where(F.col(name).between(start, end - 1)).drop(name)
 
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
@@ -46,8 +88,12 @@ def reindexed(df: DataFrame, order: list, name: str = "data_index") -> DataFrame
     rows in the partitions before; only a row per partition goes through a single task.
     """
     rest = df.drop(name) if name in df.columns and not any(str(o) == name for o in order) else df
-    parted = rest.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    parted = pinned(parted.withColumn("__id", F.monotonically_increasing_id()))
+    return _numbered(rest.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 by partition and place in it, written and read back; in place of a column of that name."""
+    parted = pinned(df.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}))
     # ids count from the partition's number times 2^33
     inside = F.col("__id") - F.col("__part").cast("bigint") * (1 << 33)
     sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))

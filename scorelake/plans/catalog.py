@@ -199,6 +199,12 @@ def q24_slice(spark, sf_dir):
     return rows.sliced(table(spark, sf_dir, "documents"), ["doc_id"], 10, 40).select("doc_id", "n_chars")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 25000 OFFSET 15000")
+def q75_large_page(spark, sf_dir):
+    """A page that is too large for one task: its ends are found by histograms, its rows are filtered."""
+    return rows.sliced(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 15_000, 25_000).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query("SELECT doc_id, n_chars FROM documents")
 def q25_slice_nolimit(spark, sf_dir):
     return rows.sliced(table(spark, sf_dir, "documents"), ["doc_id"], 10, -1).select("doc_id", "n_chars")
