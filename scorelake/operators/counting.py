@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.values import nearest_rank
+from scorelake.operators import ranks
 
 PERCENTILES = (99, 95, 90, 80, 70, 60, 50)
 UNKNOWN_ISSUE = "未知问题"
@@ -62,15 +66,55 @@ def basic_metrics(exact: bool = True) -> dict[str, Column]:
     )
 
 
+#: Values of which there are percentiles: an expression and the condition under which it counts.
+API_TIME, SCORE = {"api_time": ("api_time_cost", "api_success")}, {"score": ("score", "eval_success")}
+
+
+def summarized(cases: DataFrame, dims: list[str], metrics: dict[str, Column], values: dict[str, tuple[str, str]], percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """Metrics by dimensions, and exact percentiles of the values in bounded memory (see ranks.percentiles), 0 where there are no values.
+
+    Without dimensions it is one row, of zeros when there are no cases.
+    """
+    plain = cases.groupBy(*dims).agg(*(c.alias(k) for k, c in metrics.items()))
+    found = ranks.percentiles(cases, dims, values, percents)
+    names = [c for c in found.columns if c not in dims]
+    keys = [f"__d{k}" for k in range(len(dims))]
+    found = found.select(*(F.col(f"`{d}`").alias(k) for d, k in zip(dims, keys, strict=True)), *names)
+    if not dims:  # a single row beside another one
+        row = found.first()
+        return plain.select("*", *(F.lit(row[c] if row else None).cast("double").alias(c) for c in names)).fillna(0.0, names)
+    same = reduce(lambda a, b: a & b, (F.col(f"`{d}`").eqNullSafe(F.col(k)) for d, k in zip(dims, keys, strict=True)))
+    return plain.join(found, same).drop(*keys).withColumns({c: _zero(F.col(c).cast("double")) for c in names})
+
+
 def basic_count(cases: DataFrame, exact: bool = True) -> DataFrame:
-    """One row; zeros when there are no cases. One pass, partial aggregation before the single shuffle."""
-    return cases.agg(*(c.alias(k) for k, c in basic_metrics(exact).items()))
+    """One row; zeros when there are no cases. exact: percentiles by nearest rank; else approximate ones, all in one pass."""
+    if not exact:
+        return cases.agg(*(c.alias(k) for k, c in basic_metrics(False).items()))
+    return summarized(cases, [], _plain_metrics(), API_TIME | SCORE).select(*basic_metrics())
+
+
+def _plain_metrics() -> dict[str, Column]:
+    return {k: c for k, c in basic_metrics().items() if not k.startswith("tp")}
 
 
 def count_by(cases: DataFrame, *dims: str, rollup: bool = False, cube: bool = False, metrics: dict[str, Column] | None = None) -> DataFrame:
     """The same metrics by dimensions, with their subtotals for rollup or cube."""
+    if metrics is None:
+        return _basic_count_by(cases, [*dims], rollup, cube)
     grouped = cases.rollup(*dims) if rollup else cases.cube(*dims) if cube else cases.groupBy(*dims)
-    return grouped.agg(*(c.alias(k) for k, c in (metrics or basic_metrics()).items()))
+    return grouped.agg(*(c.alias(k) for k, c in metrics.items()))
+
+
+def _basic_count_by(cases: DataFrame, dims: list[str], rollup: bool, cube: bool) -> DataFrame:
+    """All basic metrics with exact percentiles, one grouping set after another."""
+    sets = [c for n in range(len(dims), -1, -1) for c in combinations(dims, n)] if cube else [tuple(dims[:n]) for n in range(len(dims), -1, -1)] if rollup else [tuple(dims)]
+    kinds, parts = dict(cases.dtypes), []
+    for some in sets:
+        rows = summarized(cases, [*some], _plain_metrics(), API_TIME | SCORE)
+        rows = rows.withColumns({d: F.lit(None).cast(kinds[d]) for d in dims if d not in some})
+        parts.append(rows.select(*dims, *basic_metrics()))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cases_of(api_results: DataFrame, verdicts: DataFrame, items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import text as tx
 from scorelake.functions import values as vl
-from scorelake.operators import checkers, counting, external, mock, rows, scoring
+from scorelake.operators import checkers, counting, external, mock, ranks, rows, scoring
 from scorelake.plans import views
 from scorelake.plans.views import CONV_ITEMS, DOC_ITEMS, EVENT_CASES, line_scores_sql, table
 from scorelake.sources import files
@@ -137,7 +137,7 @@ def q15_rates(spark, sf_dir):
 
 @query(f"WITH {EVENT_CASES} SELECT {_times_sql('api_time_cost', 'api_success', 'api_time', counting.PERCENTILES)} FROM event_cases")
 def q16_api_time(spark, sf_dir):
-    return _agg(spark, sf_dir, counting.time_metrics("api_time_cost", "api_success", "api_time", counting.PERCENTILES))
+    return counting.summarized(views.event_cases(spark, sf_dir), [], counting.time_metrics("api_time_cost", "api_success", "api_time"), counting.API_TIME)
 
 
 @query(f"WITH {EVENT_CASES} SELECT {_times_sql('eval_time_cost', 'eval_success', 'eval_time')} FROM event_cases")
@@ -154,12 +154,14 @@ def _rounded_dev(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {EVENT_CASES} SELECT {_NO_DEV} FROM (SELECT {SCORES_SQL} FROM event_cases) a")
 def q18_score_stats(spark, sf_dir):
-    return _rounded_dev(_agg(spark, sf_dir, counting.score_metrics()))
+    metrics = {k: c for k, c in counting.score_metrics().items() if not k.startswith("tp")}
+    return _rounded_dev(counting.summarized(views.event_cases(spark, sf_dir), [], metrics, counting.SCORE))
 
 
 @query(f"WITH {EVENT_CASES} SELECT event_type, quantile_disc(score, 0.5) AS tp50, quantile_disc(score, 0.9) AS tp90, quantile_disc(score, 0.99) AS tp99 FROM event_cases GROUP BY event_type")
 def q19_tp_all(spark, sf_dir):
-    return views.event_cases(spark, sf_dir).groupBy("event_type").agg(*(vl.nearest_rank("score", p).alias(f"tp{p}") for p in (50, 90, 99)))
+    rows = ranks.percentiles(views.event_cases(spark, sf_dir), ["event_type"], {"score": ("score", "true")}, (50, 90, 99))
+    return rows.withColumnsRenamed({f"tp{p}_score": f"tp{p}" for p in (50, 90, 99)})
 
 
 @query(f"WITH {EVENT_CASES} SELECT event_type, floor(stddev_pop(score) * 1e6 + 0.5) / 1e6 AS stddev_score FROM event_cases GROUP BY event_type")

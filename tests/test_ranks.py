@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.operators import ranks, rows
+from scorelake.operators import counting, ranks, rows
 
 
 @pytest.mark.parametrize("values", [list(range(50)), [7] * 30, [-(1 << 63), (1 << 63) - 1, 0, -1, None, None, 5], [k * k * (-1) ** k for k in range(300)], [1 << 62, -(1 << 62)] * 9])
@@ -58,3 +58,44 @@ def test_large_pages_stay_in_several_partitions(spark):
 def test_equal_rows(spark, small):
     df = spark.createDataFrame([(1,)] * 40, "k int")
     assert rows.sliced(df, ["k"], 10, 15).count() == 15 and rows.sliced(df, ["k"], 30, 15).count() == 10 and rows.sliced(df, ["k"], 40, 5).count() == 0
+
+
+def brute_percentiles(data, percents):
+    out = {}
+    for key in {r[0] for r in data}:
+        x = sorted(v for k, v, ok in data if k == key and ok and v is not None)
+        out[key] = tuple(x[max(0, -(-len(x) * p // 100) - 1)] if x else None for p in percents)
+    return out
+
+
+@pytest.mark.parametrize("held, accuracy", [(10_000, 10_000), (0, 100), (5, 20)])
+def test_percentiles_against_sorting(spark, monkeypatch, held, accuracy):
+    """Few values held and coarse sketches make many rounds; ties, extremes, a null key, and groups without values."""
+    monkeypatch.setattr(ranks, "HELD", held)
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    monkeypatch.setattr(ranks, "CUTS", 8)
+    draw = random.Random(6)
+    shapes = {"ties": lambda: draw.choice([1.0, 1.0, 1.0, 2.5]), "wide": lambda: draw.choice([-1, 1]) * 10.0 ** draw.randint(-300, 300), None: lambda: draw.random(), "one": lambda: 7.0, "skew": lambda: 5.0 if draw.random() < 0.9 else draw.random()}
+    data = [(k, f(), draw.random() < 0.9) for k, f in shapes.items() for _ in range(150)] + [("none", 1.0, False), ("nulls", None, True)]
+    df = spark.createDataFrame(data, "k string, v double, ok boolean").repartition(4)
+    percents = (1, 50, 60, 90, 99, 100)
+    got = {r.k: tuple(r[f"tp{p}_v"] for p in percents) for r in ranks.percentiles(df, ["k"], {"v": ("v", "ok"), "twice": ("cast(v as float)", "true")}, percents).collect()}
+    assert got == brute_percentiles(data, percents)
+
+
+def test_percentiles_of_all_rows_and_of_none(spark):
+    df = spark.range(100_000).selectExpr("id * 3 as x")
+    assert ranks.percentiles(df, [], {"x": ("x", "x > 2")}, (50, 99)).first() == (150_000, 297_000)
+    assert ranks.percentiles(df.limit(0), [], {"x": ("x", "true")}, (50,)).count() == 0
+    assert ranks.percentiles(df.limit(0).withColumn("g", F.lit("a")), ["g"], {"x": ("x", "true")}, (50,)).count() == 0
+
+
+def test_counts_by_cube_have_exact_percentiles(spark):
+    draw = random.Random(2)
+    data = [(draw.choice("ab"), draw.choice([None, 1]), draw.random() < 0.8, draw.randint(0, 50), draw.random() < 0.8, draw.randint(0, 9), draw.random(), draw.random() < 0.5) for _ in range(300)]
+    df = spark.createDataFrame(data, "g string, h int, api_success boolean, api_time_cost bigint, eval_success boolean, eval_time_cost bigint, score double, pass boolean")
+    rows_ = counting.count_by(df, "g", "h", cube=True).collect()
+    assert len(rows_) == 9
+    want = df.cube("g", "h").agg(*(c.alias(k) for k, c in counting.basic_metrics().items()))
+    assert sorted(map(str, rows_)) == sorted(map(str, want.collect()))
+    assert counting.basic_count(df).first() == df.agg(*(c.alias(k) for k, c in counting.basic_metrics().items())).first()
