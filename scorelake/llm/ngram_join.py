@@ -46,8 +46,10 @@ WORDS_KEPT = 150_000
 
 
 class _Hashes(dict):
+    kept = WORDS_KEPT
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
+        if len(self) >= self.kept:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out

@@ -58,11 +58,17 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values if size == width else np.minimum(values[: len(values) - width + size], values[width - size :])
 
 
+class _Words(_Hashes):
+    """Hashes of words, of which a worker of this operator remembers more."""
+
+    kept = 400_000
+
+
 class Anchors:
     """Runs of windows of a text that share an anchor."""
 
     def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.hash = window, gram, _Hashes().__getitem__
+        self.window, self.gram, self.hash = window, gram, _Words().__getitem__
 
     def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray] | None:
         """Words, their hashes, the first window of each run (and the end), and each run's anchor; None without a window."""
@@ -244,18 +250,24 @@ def _kept(text: Column, gone: Column) -> Column:
     return kept(text, gone)
 
 
-def _judged(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, str]:
-    """docs with the kept text in a new column, and its name. Only texts that lose words are shuffled, and a few more."""
+def _judged(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, str, str]:
+    """docs with the kept text and the number of words before in new columns, and their names. Only texts that lose words are shuffled, and a few more."""
     gone = spans(docs, window, gram)
-    hit, kept, own, id_, m, ranges = (fresh(c, docs) for c in ("found", "kept", "mark", "kept_id", "kept_mark", "spans"))
+    hit, kept, own, id_, m, ranges, count = (fresh(c, docs) for c in ("found", "kept", "mark", "kept_id", "kept_mark", "spans", "count"))
     tested = _tested(docs, "doc_id", id_filter(gone, "doc_id"), hit)
     plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE}]+", " "))
-    rest = tested.where(~F.col(hit)).withColumn(kept, plain)
+    rest = tested.where(~F.col(hit)).withColumn(kept, plain).withColumn(count, _spaced(F.col(kept)))
     known = gone.select(F.col("doc_id").alias(id_), F.col("mark").alias(m), F.col("spans").alias(ranges))
     some = tested.where(F.col(hit)).withColumn(own, text_mark())
     some = some.join(known, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(m)), "left")
     some = some.withColumn(kept, _kept(F.col("text"), F.col(ranges))).drop(own, id_, m, ranges)
-    return rest.unionByName(some).drop(hit), kept
+    some = some.withColumn(count, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+    return rest.unionByName(some).drop(hit), kept, count
+
+
+def _spaced(words: Column) -> Column:
+    """How many words there are, joined by one space."""
+    return F.when(words == "", F.lit(0)).otherwise(F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1).cast("bigint")
 
 
 def judge(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -267,13 +279,11 @@ def judge(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     a window's length lose none, and texts of any length are read whole. An empty table gives no rows; other
     columns aren't looked at.
     """
-    rows, kept = _judged(docs.select("doc_id", "text"), window, gram)
-    words = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = rows.withColumn("n_words", words(F.col("text"))).withColumn("n_left", words(F.col(kept)))
-    return rows.select("doc_id", "n_words", (F.col("n_words") - F.col("n_left")).alias("n_removed"), F.sha2(F.col(kept).cast("binary"), 256).alias("kept_sha256"))
+    rows, kept, count = _judged(docs.select("doc_id", "text"), window, gram)
+    return rows.select("doc_id", F.col(count).alias("n_words"), (F.col(count) - _spaced(F.col(kept))).alias("n_removed"), F.sha2(F.col(kept).cast("binary"), 256).alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, all columns, without the words that judge removes: texts are what is left, joined by one space, null texts empty."""
-    rows, kept = _judged(docs, window, gram)
+    rows, kept, _ = _judged(docs, window, gram)
     return rows.withColumn("text", F.col(kept)).drop(kept).select(docs.columns)
