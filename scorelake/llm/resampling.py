@@ -54,9 +54,10 @@ def gains(docs: DataFrame, target: DataFrame, least: int = LEAST, most: int = MO
     s, t = bucket_counts(docs, "s", least, most, buckets), bucket_counts(target, "t", least, most, buckets)
     rows = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left")
     rows = rows.select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st"))
-    sums = rows.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    x, y = (F.col("t") + 1) * (F.col("all_s") + buckets), (F.col("s") + 1) * (F.col("all_t") + buckets)
-    return rows.join(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(x / y)).alias("gain"))
+    rows = written(rows, "bucket_counts")
+    all_s, all_t = rows.agg(F.sum("s"), F.sum("t")).first()
+    x, y = (F.col("t") + 1) * F.lit(all_s + buckets), (F.col("s") + 1) * F.lit(all_t + buckets)
+    return rows.select("bucket", F.floor(1000 * F.log(x / y)).alias("gain"))
 
 
 def noise(doc_id: Column, seed: str) -> Column:
