@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
 again as the docs of the next one. All but the last keep the columns of documents. Empty tables stay
-empty through all stages, and docs may have any other columns, which those before the last keep.
+empty through all stages, and docs may have any other columns, which those before the last keep. Texts of
+any length are read whole; they go to Python in small batches, which the stages set for their session.
 """
 
 from __future__ import annotations
@@ -13,8 +14,21 @@ from scorelake.llm import dedup, mixing, ngram_join, packing, toxicity
 from scorelake.llm.common import read_table, written
 
 
+#: Rows and bytes of texts that a worker gets at a time at most.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to the bounds above, or fewer rows if it has fewer: a batch is held several times over, on both sides of the pipe."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that noisy-or scores below the threshold stay; null, empty and blank texts score 0 and stay, of any length plain texts too."""
+    small_batches(spark)
     return toxicity.clean(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -23,21 +37,25 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts are equal. Documents without doc_id all stay; of an id's rows each different text is judged on its own.
     """
+    small_batches(spark)
     return dedup.exact_dedup(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the smallest doc_id stays; documents without doc_id or without words stay."""
+    small_batches(spark)
     return ngram_join.near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or repeated. Null source is a source; sources without words aren't taken."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece with its sequence and place in it; repeated documents are packed each time, null text as its end id alone."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
