@@ -1,7 +1,8 @@
 """Calls of systems outside: the API under test, language models; batched by partition, results as rows.
 
 Spark may run a task again, so a call may be made again: clients get the case's data_index to make it
-idempotent. Persist what these operators return before several sinks read it.
+idempotent. With a ledger, what has been answered is read from its table and not asked again, whoever reads the
+results and however often; without one, write the results before several sinks read them.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from scorelake.functions.http import Answer, request
 from scorelake.functions.text import markdown_json
 from scorelake.model import API_RESULTS
+from scorelake.operators.calls import answers
+from scorelake.operators.ledger import Ledger, asked
 
 
 class Transport(Protocol):
@@ -108,21 +111,42 @@ def _called(client: Transport, index: int, item: dict[str, str], clock: Callable
     return index, result or {}, start, end, end - start, result is not None
 
 
-def api_completion(items: DataFrame, factory: Callable[[], Transport], threads: int = 1, clock: Callable[[], int] | None = None) -> DataFrame:
+#: Rows of results that a worker hands over at a time.
+HANDED = 256
+
+
+def _handed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, HANDED)):
+        yield pd.DataFrame(some, columns=columns)
+
+
+def _each(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[c] for c in columns), strict=True)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def api_completion(items: DataFrame, factory: Callable[[], Transport], threads: int = 1, clock: Callable[[], int] | None = None, timeout: float | None = None, ledger: Ledger | None = None, scope: str = "api") -> DataFrame:
     """API results of items (data_index, input_item), ``threads`` calls at a time in each partition, in the order of the items.
 
-    A call that raises gives success false, no result and times 0; so does one without an answer, with its times.
+    A call that raises gives success false, no result and times 0, and so does one that takes more than ``timeout`` seconds,
+    while the others go on; one without an answer is no success, with its times. With a ledger only items without a
+    successful answer of this scope and input are called, at once, and results are read from its table.
     """
+    schema = f"{API_RESULTS}, ask string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, now = factory(), clock or (lambda: int(time.time() * 1000))
-        with ThreadPoolExecutor(threads) as pool:
-            for batch in batches:
-                pairs = zip(batch["data_index"], batch["input_item"], strict=True)
-                rows = list(pool.map(lambda p: _called(client, p[0], dict(p[1] or {}), now), pairs))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in API_RESULTS.split(", ")])
+        made = answers(_each(batches, ["data_index", "input_item", "ask"]), lambda x: (*_called(client, x[0], dict(x[1] or {}), now), x[2]), threads, timeout, lambda x: (x[0], {}, 0, 0, 0, False, x[2]))
+        yield from _handed(made, _names(schema))
 
-    return items.select("data_index", "input_item").mapInPandas(run, API_RESULTS)
+    if ledger is None:
+        return items.select("data_index", "input_item", F.lit(None).cast("string").alias("ask")).mapInPandas(run, schema).drop("ask")
+    cases = items.select("data_index", "input_item", asked(F.array_sort(F.map_entries("input_item"))).alias("ask"))
+    return ledger.fill(scope, cases, lambda missing: missing.mapInPandas(run, schema), schema, "success").drop("ask")
 
 
 def ordered_completion(items: DataFrame, key: Column, order: list[Column], factory: Callable[[], Transport], clock: Callable[[], int] | None = None) -> DataFrame:
@@ -132,37 +156,43 @@ def ordered_completion(items: DataFrame, key: Column, order: list[Column], facto
     return api_completion(ready, factory, 1, clock)
 
 
-def llm(rows: DataFrame, factory: Callable[[], ChatModel], model: str, retries: int = 6, wait: float = 10.0, valid: Callable[[str], bool] | None = None, threads: int = 1) -> DataFrame:
+#: What a ledger keeps of a model's replies.
+REPLIES = "data_index bigint, prompt string, reply string, attempts int, error string, ask string"
+
+
+def llm(rows: DataFrame, factory: Callable[[], ChatModel], model: str, retries: int = 6, wait: float = 10.0, valid: Callable[[str], bool] | None = None, threads: int = 1, timeout: float | None = None, ledger: Ledger | None = None, scope: str = "") -> DataFrame:
     """Replies to prompts of rows (data_index, prompt): (data_index, prompt, reply, attempts, error).
 
     A call that raises, or whose reply isn't valid, is made again after ``wait`` seconds; after the
-    last one reply is null and error tells why. Prompts come back with their replies, so nothing is joined.
+    last one reply is null and error tells why. A prompt that has no reply within ``timeout`` seconds, all its attempts
+    together, is given up, and the others go on. Prompts come back with their replies, so nothing is joined. With a ledger
+    only prompts without a reply of this model and scope are asked, at once, and replies are read from its table.
     """
 
-    def ask(chat: ChatModel, index: int, prompt: str) -> tuple:
+    def ask(chat: ChatModel, index: int, prompt: str, key: str | None) -> tuple:
         error = ""
         for attempt in range(1, max(1, retries) + 1):
             try:
                 reply = chat(prompt)
                 if valid is None or valid(reply):
-                    return index, reply, attempt, None
+                    return index, prompt, reply, attempt, None, key
                 error = "the reply is not valid"
             except Exception as e:
                 error = str(e) or type(e).__name__
             if attempt < retries:
                 time.sleep(wait)
-        return index, None, max(1, retries), error
+        return index, prompt, None, max(1, retries), error, key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = factory()
-        with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
-                pairs = zip(b["data_index"], b["prompt"], strict=True)
-                out = pd.DataFrame(list(pool.map(lambda p: ask(chat, *p), pairs)), columns=["data_index", "reply", "attempts", "error"])
-                out.insert(1, "prompt", b["prompt"].to_numpy())
-                yield out
-
-    return rows.select("data_index", "prompt").mapInPandas(run, "data_index bigint, prompt string, reply string, attempts int, error string")
+        late = lambda x: (x[0], x[1], None, max(1, retries), f"no reply in {timeout:g} s", x[2])
+        yield from _handed(answers(_each(batches, ["data_index", "prompt", "ask"]), lambda x: ask(chat, *x), threads, timeout, late), _names(schema))
+
+    schema = REPLIES
+    if ledger is None:
+        return rows.select("data_index", "prompt", F.lit(None).cast("string").alias("ask")).mapInPandas(run, schema).drop("ask")
+    cases = rows.select("data_index", "prompt", asked(F.col("prompt")).alias("ask"))
+    return ledger.fill(f"{model} {scope}".strip(), cases, lambda missing: missing.mapInPandas(run, schema), schema, "error is null").drop("ask").select(*_names(schema)[:-1])
 
 
 def llm_calls(replies: DataFrame, model: str) -> DataFrame:

@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 from scorelake.functions.http import request
 from scorelake.functions.text import markdown_json
 from scorelake.operators import checkers, external
+from scorelake.operators.ledger import Ledger
 from scorelake.operators.scoring import Scorer, score_items
 
 
-def prompt_scorer(items: DataFrame, prompt: Column, factory: Callable[[], external.ChatModel], model: str = "judge", kind: str = "value", score: Callable[[Column], Column] | None = None, retries: int = 6, wait: float = 10.0, **config) -> DataFrame:
-    """Scorer results of one model-judged metric; config as for Scorer.
+def prompt_scorer(items: DataFrame, prompt: Column, factory: Callable[[], external.ChatModel], model: str = "judge", kind: str = "value", score: Callable[[Column], Column] | None = None, retries: int = 6, wait: float = 10.0, threads: int = 1, timeout: float | None = None, ledger: Ledger | None = None, **config) -> DataFrame:
+    """Scorer results of one model-judged metric; config as for Scorer, the rest as for external.llm.
 
     Replies hold {"score": ..., "reason": ...}, in a code fence or not; ``score`` reads another form.
-    A call without a good reply fails the scorer for its case. Persist the result before several
-    sinks read it, or the model is asked again.
+    A call without a good reply fails the scorer for its case. With a ledger, a case's prompt is asked
+    once for each metric, whoever reads the result.
     """
     asked = items.select("data_index", prompt.alias("prompt"))
-    replies = external.llm(asked, factory, model, retries, wait, valid=None)
+    replies = external.llm(asked, factory, model, retries, wait, threads=threads, timeout=timeout, ledger=ledger, scope=config.get("metric", ""))
     parsed = external.parsed_reply(F.col("reply"))
     mark = score(F.col("reply")) if score else parsed["score"]
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(mark.isNull(), F.lit("the reply has no score"))
@@ -40,16 +41,16 @@ def preset_scorer(name: str, items: DataFrame, values: list[Column], factory, **
     return prompt_scorer(items, external.preset_prompt(name, *values), factory, **{"metric": name} | how)
 
 
-def next_queries(items: DataFrame, context: Column, factory: Callable[[], external.ChatModel], model: str = "user", retries: int = 6, wait: float = 10.0) -> DataFrame:
+def next_queries(items: DataFrame, context: Column, factory: Callable[[], external.ChatModel], model: str = "user", retries: int = 6, wait: float = 10.0, ledger: Ledger | None = None) -> DataFrame:
     """The user's next question in each case, from the conversation so far: rows (data_index, query); null where the model has no answer."""
     asked = items.select("data_index", external.preset_prompt("next_query", context).alias("prompt"))
-    replies = external.llm(asked, factory, model, retries, wait, valid=lambda reply: bool(reply.strip()))
+    replies = external.llm(asked, factory, model, retries, wait, valid=lambda reply: bool(reply.strip()), ledger=ledger, scope="next query")
     return replies.select("data_index", F.trim("reply").alias("query"))
 
 
-def workflow_scorer(items: DataFrame, factory: Callable[[], external.Transport], score: Callable[[Column], Column], kind: str = "value", reason: Callable[[Column], Column] | None = None, **config) -> DataFrame:
-    """Scorer results from the outputs of an external workflow; score and reason read its map of outputs."""
-    api = external.api_completion(items, factory).withColumnRenamed("success", "ok")
+def workflow_scorer(items: DataFrame, factory: Callable[[], external.Transport], score: Callable[[Column], Column], kind: str = "value", reason: Callable[[Column], Column] | None = None, threads: int = 1, timeout: float | None = None, ledger: Ledger | None = None, **config) -> DataFrame:
+    """Scorer results from the outputs of an external workflow; score and reason read its map of outputs, the rest as for external.api_completion."""
+    api = external.api_completion(items, factory, threads, timeout=timeout, ledger=ledger, scope=f"workflow {config.get('metric', '')}".strip()).withColumnRenamed("success", "ok")
     error = F.when(~F.col("ok"), F.lit("the workflow has no result"))
     one = Scorer(score(F.col("result_item")), reason=reason(F.col("result_item")) if reason else None, error=error, start_time=F.col("start_time"), end_time=F.col("end_time"), **config)
     return score_items(api, [one], kind)

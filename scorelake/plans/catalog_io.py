@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import text as tx
 from scorelake.functions import values as vl
 from scorelake.model import RunConfig, scratch
-from scorelake.operators import checkers, counting, external, judged, mock, scoring
+from scorelake.operators import checkers, counting, external, judged, ledger, mock, scoring
 from scorelake.plans import catalog, flow, views
 from scorelake.plans.catalog import query
 from scorelake.plans.views import EVENT_CASES, table
@@ -43,6 +43,30 @@ def q56_prompt_scorer(spark, sf_dir):
     return out.select("data_index", "score", "success", "pass", "reason")
 
 
+_RUNS = """(SELECT 1 AS run, conv_id * 1000 + turn AS data_index, length(text) AS size FROM conversations
+  UNION ALL SELECT 2, conv_id * 1000 + turn, length(text) + CASE WHEN turn % 3 = 0 THEN 5 ELSE 0 END FROM conversations) r"""
+_BAD = "(size % 11 = 0 OR size % 7 = 0)"
+
+
+@query(f"""WITH s AS (SELECT run, count(*) AS cases, sum(CASE WHEN {_BAD} THEN 0 ELSE size END)::DOUBLE AS score, count(*) FILTER (WHERE size % 11 <> 0) AS answered FROM {_RUNS} GROUP BY run),
+  c AS (SELECT 1 AS run, count(*) AS asked FROM {_RUNS} WHERE run = 1
+  UNION ALL SELECT 2, count(*) FROM {_RUNS} JOIN (SELECT data_index, length_1 FROM (SELECT data_index, size AS length_1 FROM {_RUNS} WHERE run = 1)) o USING (data_index) WHERE run = 2 AND (size <> length_1 OR length_1 % 11 = 0))
+  SELECT run, cases, answered, asked, score FROM s JOIN c USING (run)""")
+def q76_ledger_of_answers(spark, sf_dir):
+    """Two runs over all turns, of which the second changes every third prompt: only these, and those that failed before, are asked again, though three readers count each run's results."""
+    book = ledger.Ledger(spark, scratch(spark, "ledger"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("data_index"), "turn", "text")
+    out = []
+    for run in (1, 2):
+        text = F.col("text") if run == 1 else F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+        scored = judged.prompt_scorer(turns, external.prompt("mark", text), _Judge, retries=1, wait=0, metric="length", ledger=book)
+        counts = [F.count("*").alias("cases"), F.count_if(F.col("reason") != "Error: busy").alias("answered"), F.sum("score").alias("score")]
+        parts = [scored.agg(c) for c in counts]
+        out.append(parts[0].withColumn("run", F.lit(run)).join(parts[1].withColumn("run", F.lit(run)), "run").join(parts[2].withColumn("run", F.lit(run)), "run"))
+    calls = book.calls("judge length", external.REPLIES).withColumnRenamed("n", "asked")
+    return out[0].unionByName(out[1]).join(calls, "run").select("run", "cases", "answered", "asked", "score")
+
+
 def _parity(row):
     if row["doc_id"] % 5 == 0:
         raise ValueError("five")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from scorelake.model import RunConfig
 from scorelake.operators import external, scoring
-from scorelake.operators.rows import reindexed, sliced
+from scorelake.operators.ledger import Ledger
+from scorelake.operators.rows import pinned, reindexed, sliced
 from scorelake.sinks.reports import report
 
 #: Metrics that one function may give.
@@ -27,7 +28,7 @@ INIT, RUNNING, DONE, FAILED = "INIT", "RUNNING", "DONE", "FAILED"
 
 @dataclass
 class Context:
-    """What nodes share. scorers: those in column form; row_scorers: functions that give long scorer results; results: all scorers' results, once asked for."""
+    """What nodes share. ledger: where answers of the system under test are kept from run to run. scorers: those in column form; row_scorers: functions that give long scorer results; results: all scorers' results, once asked for."""
 
     strategy: str = "sum"
     threshold: float = 0.0
@@ -39,13 +40,17 @@ class Context:
     scorers: list[scoring.Scorer] = field(default_factory=list)
     row_scorers: list[tuple[int, Callable[[DataFrame, str], DataFrame]]] = field(default_factory=list)
     config: RunConfig = field(default_factory=RunConfig)
+    ledger: Ledger | None = None
 
     def rows(self) -> DataFrame:
         """Items with their API results, if there are any."""
         return self.items if self.api_results is None else self.items.join(self.api_results, "data_index", "left")
 
     def scored(self) -> DataFrame:
-        """Long results of all scorers: those in column form in one pass over the items, and those of functions, by their order in the workflow."""
+        """Long results of all scorers: those in column form in one pass over the items, and those of functions, by their order in the workflow.
+
+        Functions may ask systems outside, so results with theirs are written once, and all that read them read that table.
+        """
         if self.results is None:
             kind = scoring.strategy(self.strategy).kind
             taken = {pos for pos, _ in self.row_scorers}
@@ -59,7 +64,8 @@ class Context:
                 parts.append(score(self.rows(), kind).withColumn("scorer_pos", F.lit(pos) * WIDTH + F.col("scorer_pos")))
             if self.row_scorers and self.scorers:
                 parts[0] = parts[0].withColumn("scorer_pos", F.col("scorer_pos") * WIDTH)
-            self.results = reduce(DataFrame.unionByName, parts) if parts else scoring.score_items(self.rows(), [], kind)
+            made = reduce(DataFrame.unionByName, parts) if parts else scoring.score_items(self.rows(), [], kind)
+            self.results = pinned(made) if self.row_scorers else made
         return self.results
 
     def verdicts(self, **how) -> DataFrame:
@@ -122,16 +128,17 @@ class Wrap(Node):
 
 
 class Call(Node):
-    """An API over all items; its results are kept when ``persist`` is set, for sinks read them again.
+    """An API over all items; its results are written when ``persist`` is set, for sinks read them again.
 
     call takes the items, or a Transport's factory is given: then the run's thread_num says how many
-    calls a partition makes at a time.
+    calls a partition makes at a time, and answers come from the run's ledger where it has one. A call that
+    takes more than ``timeout`` seconds costs its own case only.
     """
 
-    def __init__(self, call: Callable[[DataFrame], DataFrame] | None = None, persist: bool = True, factory: Callable[[], external.Transport] | None = None):
+    def __init__(self, call: Callable[[DataFrame], DataFrame] | None = None, persist: bool = True, factory: Callable[[], external.Transport] | None = None, timeout: float | None = None):
         def run(c: Context) -> None:
-            made = call(c.items) if call else external.api_completion(c.items, factory, threads=c.config.thread_num)
-            c.api_results = made.persist() if persist else made
+            made = call(c.items) if call else external.api_completion(c.items, factory, threads=c.config.thread_num, timeout=timeout, ledger=c.ledger)
+            c.api_results = pinned(made) if persist else made
 
         if (call is None) == (factory is None):
             raise ValueError("either call or factory must be given")
@@ -245,9 +252,10 @@ class FullRun:
     evaluation: list[Node]
     reports: list[Node] = field(default_factory=list)
     hooks: dict[str, Callable[[Context], None]] = field(default_factory=dict)
+    ledger: Ledger | None = None
 
     def run(self) -> Context:
-        context = Context(strategy=self.config.strategy, threshold=self.config.pass_score, config=self.config)
+        context = Context(strategy=self.config.strategy, threshold=self.config.pass_score, config=self.config, ledger=self.ledger)
         hook = lambda name: self.hooks.get(name, lambda c: None)(context)
         hook("before")
         for name, part in (("load", [Load(self.load)]), ("evaluation", self.evaluation), ("report", self.reports)):
