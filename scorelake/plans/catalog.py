@@ -175,6 +175,24 @@ def q21_count_by(spark, sf_dir):
     return _rounded_dev(counting.count_by(views.event_cases(spark, sf_dir), "event_type"))
 
 
+@query(f"""WITH {EVENT_CASES} SELECT event_type, {RATES_SQL}, {_times_sql('api_time_cost', 'api_success', 'api_time')}, {_times_sql('eval_time_cost', 'eval_success', 'eval_time')}, {_times_sql('score', 'eval_success', 'score')},
+  true AS near FROM event_cases GROUP BY event_type""")
+def q77_merged_counts(spark, sf_dir):
+    """Counts of 16 parts of the cases, merged: all metrics but percentiles as of all cases, and percentiles at a place that is wrong by 1 % at most."""
+    cases = views.event_cases(spark, sf_dir)
+    parts = counting.partial_counts(cases.withColumn("part", F.pmod(F.xxhash64("event_type", "score"), F.lit(16))), "part", "event_type")
+    merged = counting.merged_counts(parts, "event_type")
+    names = [f"tp{p}_{x}" for x in ("api_time", "score") for p in counting.PERCENTILES]
+    ends = [counting.ranks.percentiles(cases, ["event_type"], counting.API_TIME | counting.SCORE, tuple(min(100, max(1, p + d)) for p in counting.PERCENTILES)) for d in (-1, 1)]
+    low, high = (e.withColumnsRenamed({f"tp{min(100, max(1, p + d))}_{x}": f"{side}{p}_{x}" for x in ("api_time", "score") for p in counting.PERCENTILES}) for e, d, side in zip(ends, (-1, 1), ("low", "high"), strict=True))
+    both = merged.join(low, "event_type").join(high, "event_type")
+    near = F.lit(True)
+    for c in names:
+        near = near & F.col(c).between(F.col("low" + c[2:]), F.col("high" + c[2:]))
+    kept = [c for c in merged.columns if c not in names and c != "stddev_score"]
+    return both.select(*kept, near.alias("near"))
+
+
 _SEGMENTS = "JOIN orders ON data_index = o_orderkey JOIN customer ON o_custkey = c_custkey"
 
 

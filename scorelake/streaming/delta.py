@@ -20,6 +20,8 @@ from scorelake.model import RunConfig
 from scorelake.plans.flow import paged
 
 INIT, RUNNING, FINISHED, FAILED = 0, 1, 2, 3
+#: Tasks that fill a queue, and the column that deals keys to its files.
+TASKS, FILE = 1000, "__file"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -66,7 +68,11 @@ class DeltaRun:
     message_process_max_time bounds the seconds of a batch, a batch beyond it fails the run, which
     can be resumed; receive_timeout is how many seconds run waits for a queue that another process loads.
 
-    queue: a folder of Parquet files of cases, each up to batch_size of them. With key and order, the cases
+    partial and merge make reports cheap: partial maps a batch's results to rows of bounded size, as counting.partial_counts
+    does, which are written with the batch; a report gets what merge makes of all of them, instead of all results, so it costs a
+    row or a few for each batch. For this, cases must be in the queue once; load sees to it.
+
+    queue: a folder of Parquet files of cases, each up to batch_size of them, of which thread_num are a batch. With key and order, the cases
     of a key are evaluated in one task and in this order inside a batch; all of a queue loaded by load go
     by key into files, so that they meet in a batch.
     """
@@ -78,35 +84,50 @@ class DeltaRun:
     key: Column | None = None
     order: list[Column] = field(default_factory=list)
     report: Callable[[DataFrame], None] | None = None
-    files_per_batch: int = 1
+    files_per_batch: int | None = None
+    partial: Callable[[DataFrame], DataFrame] | None = None
+    merge: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
+        if (self.partial is None) != (self.merge is None):
+            raise ValueError("partial and merge go together")
         base = f"{self.folder}/{self.config.task_name}"
-        self.queue, self.results, self.checkpoint = f"{base}/queue", f"{base}/results", f"{base}/checkpoint"
+        self.queue, self.results, self.checkpoint, self.state = f"{base}/queue", f"{base}/results", f"{base}/checkpoint", f"{base}/state"
         self.tasks = TaskRegistry(self.spark, f"{self.folder}/tasks")
         if not self.config.enable_resume:
             _delete(self.spark, base)
 
     def load(self, items: DataFrame) -> bool:
-        """Fill the queue once; False if the run has been loaded before. Cases stay in about batch_size to a file."""
+        """Fill the queue once; False if the run has been loaded before. Cases go in about batch_size to a file, however many files there are.
+
+        Files are written by TASKS tasks at most. Cases with the data_index of another one are left out, if a report is merged.
+        """
         if _exists(self.spark, f"{self.queue}/_SUCCESS"):
             return False
         items = paged(items, self.config)
+        if self.partial:
+            items = items.dropDuplicates(["data_index"])
         n = items.count()
         files = max(1, -(-n // self.config.batch_size))
-        rows = items.repartition(min(files, 100_000), self.key) if self.key is not None else items.repartition(min(files, 100_000))
-        if self.order:
-            rows = rows.sortWithinPartitions(*([self.key] if self.key is not None else []), *self.order)
-        rows.write.mode("overwrite").parquet(self.queue)
+        tasks = min(files, TASKS)
+        if self.key is None:
+            items.repartition(tasks).write.mode("overwrite").option("maxRecordsPerFile", self.config.batch_size).parquet(self.queue)
+        else:  # a file has all cases of its keys
+            rows = items.withColumn(FILE, F.pmod(F.xxhash64(self.key), F.lit(files)))
+            rows = rows.repartition(tasks, FILE).sortWithinPartitions(FILE, self.key, *self.order)
+            rows.write.mode("overwrite").partitionBy(FILE).parquet(self.queue)
         self.tasks.put(self.config.task_name, all_count=n, status=RUNNING)
         return True
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.drop(FILE)
         if self.key is not None:
             batch = batch.repartition(self.key).sortWithinPartitions(self.key, *self.order)
         # a batch that runs again overwrites what it wrote
         with self._limited(batch_id):
-            self.evaluate(batch).write.mode("overwrite").parquet(f"{self.results}/batch_id={batch_id}")
+            self.evaluate(batch).write.mode("overwrite").parquet(target := f"{self.results}/batch_id={batch_id}")
+            if self.partial:
+                self.partial(self.spark.read.parquet(target)).coalesce(1).write.mode("overwrite").parquet(f"{self.state}/batch_id={batch_id}")
 
     @contextmanager
     def _limited(self, batch_id: int):
@@ -140,7 +161,7 @@ class DeltaRun:
     def start(self):
         """The streaming query over all files of the queue that the checkpoint doesn't have; it ends after them."""
         schema = self.spark.read.parquet(self.queue).schema
-        cases = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(self.queue)
+        cases = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch or self.config.thread_num).parquet(self.queue)
         return cases.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
 
     def run(self) -> DataFrame:
@@ -161,9 +182,15 @@ class DeltaRun:
         return self.all_results()
 
     def _report(self) -> None:
-        if self.report and _exists(self.spark, self.results):
+        if self.report and self.merge and _exists(self.spark, self.state):
+            self.report(self.merged())
+        elif self.report and not self.merge and _exists(self.spark, self.results):
             self.report(self.all_results())
 
+    def merged(self) -> DataFrame:
+        """What merge makes of the partial rows of all batches so far."""
+        return self.merge(self.spark.read.parquet(self.state).drop("batch_id"))
+
     def all_results(self) -> DataFrame:
         """One row per case."""
         rows = self.spark.read.parquet(self.results)
