@@ -503,9 +503,10 @@ def q51_mock_fixed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", mock.mock_text(template, F.col("doc_id"), 1, _number_engine).alias("text"))
 
 
-@query("SELECT (i % 4 + 1)::INTEGER AS round, 50::BIGINT AS n, CASE WHEN i % 4 = 0 THEN 0 ELSE (SELECT sum(length(k || ': query ' || k) + 1) FROM range(1, i % 4 + 1) t(k)) END::BIGINT AS context_length FROM range(4) r(i)")
+@query("SELECT (i % 4 + 1)::INTEGER AS round, (SELECT count(*) FROM customer) AS n, CASE WHEN i % 4 = 0 THEN 0 ELSE (SELECT sum(length(k || ': query ' || k) + 1) FROM range(1, i % 4 + 1) t(k)) END::BIGINT AS context_length FROM range(4) r(i)")
 def q52_gen_sessions(spark, sf_dir):
-    s = files.sessions(spark, 50, 4, seed=3)
+    """A session of four rounds for each customer."""
+    s = files.sessions(spark, table(spark, sf_dir, "customer").count(), 4, seed=3)
     return s.groupBy("round").agg(F.count_distinct("sessionId").alias("n"), F.max(F.length("contextDependency")).cast("bigint").alias("context_length"))
 
 

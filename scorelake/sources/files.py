@@ -6,9 +6,12 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -124,52 +127,138 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_xlsx(data: bytes, sheet: int = 0) -> Iterator[list[str]]:
-    """Rows of a sheet by number; cells as text, whole numbers without a fraction, formulas by their value."""
+#: Numbers of the format's own date and time formats.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
+
+
+def _plain(text: str) -> str:
+    return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
+
+
+def _date_styles(z: zipfile.ZipFile) -> dict[int, tuple[bool, bool]]:
+    """Styles of dates and times by number: whether they show a date, and a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return {}
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    out = {}
+    for k, x in enumerate(root.findall("m:cellXfs/m:xf", _NS)):
+        number = int(x.get("numFmtId") or 0)
+        if number in codes:
+            # letters outside of quotes and brackets; elapsed times are in brackets
+            code = re.sub(r'"[^"]*"|\\.|\[[^\]hms]*\]|_.|\*.', "", codes[number].split(";")[0]).lower()
+            if code.strip() == "general":
+                continue
+            date, time = bool(re.search("[yd]", code)) or ("m" in code and not re.search("[hs]", code)), bool(re.search("[hs]", code))
+        else:
+            date, time = number in _DATE_FORMATS and not 18 <= number <= 21 and not 45 <= number <= 47, number in (18, 19, 20, 21, 22, 45, 46, 47)
+        if date or time:
+            out[k] = date, time
+    return out
+
+
+def _date_text(number: float, date: bool, time: bool, base: datetime) -> str:
+    """A day number as text: the date, the time, or both where the format shows both or the number has a part of a day."""
+    whole = base + timedelta(seconds=round(number * 86_400))
+    if time and not date:
+        return whole.strftime("%H:%M:%S")
+    return whole.strftime("%Y-%m-%d" if not time and number == int(number) else "%Y-%m-%d %H:%M:%S")
+
+
+def read_xlsx(data: bytes, sheet: int | None = 0) -> Iterator[list[str]]:
+    """Rows of a sheet by number, or of all sheets one after the other for None; read as a stream of events.
+
+    Cells are text: whole numbers without a fraction, formulas by their value, dates and times as YYYY-MM-DD and HH:MM:SS.
+    """
+    main = f"{{{_NS['m']}}}"
     with zipfile.ZipFile(BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            for _, x in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if x.tag == f"{main}si":
+                    shared.append("".join(t.text or "" for t in x.iter(f"{main}t")))
+                    x.clear()
         book, links = ElementTree.fromstring(z.read("xl/workbook.xml")), ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-        target = {x.get("Id"): x.get("Target") for x in links}[book.find("m:sheets", _NS)[sheet].get(_REL)]
-        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        for row in ElementTree.fromstring(z.read(name)).iter(f"{{{_NS['m']}}}row"):
-            cells: list[str] = []
-            for k, c in enumerate(row):
-                at = _column(c.get("r")) if c.get("r") else k
-                v, kind = c.find("m:v", _NS), c.get("t")
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                elif v is None or v.text is None:
-                    value = ""
-                elif kind == "s":
-                    value = shared[int(v.text)]
-                elif kind == "b":
-                    value = "true" if v.text == "1" else "false"
-                elif kind in ("str", "e", "d"):
-                    value = v.text
-                else:
-                    number = float(v.text)
-                    value = str(int(number)) if number.is_integer() else repr(number)
-                cells += [""] * (at + 1 - len(cells))
-                cells[at] = value
-            yield cells
-
-
-def xlsx(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    """Rows of one sheet; the first row names the columns. Columns with a blank name are left out.
-
-    Files are read as binary by Spark, from any of its file systems, and parsed on executors.
+        settings = book.find("m:workbookPr", _NS)
+        # days count from 1899-12-30, for the format takes 1900 for a leap year, or from 1904
+        base = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        targets, dates = {x.get("Id"): x.get("Target") for x in links}, _date_styles(z)
+        sheets = [*book.find("m:sheets", _NS)]
+        for one in sheets if sheet is None else [sheets[sheet]]:
+            target = targets[one.get(_REL)]
+            parent = None
+            for event, row in ElementTree.iterparse(z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}"), ("start", "end")):
+                if row.tag == f"{main}sheetData" and event == "start":
+                    parent = row
+                if row.tag != f"{main}row" or event == "start":
+                    continue
+                yield [*_cells(row, shared, dates, base)]
+                parent.clear()
+
+
+def _cells(row, shared: list[str], dates: dict[int, tuple[bool, bool]], base: datetime) -> list[str]:
+    cells: list[str] = []
+    for k, c in enumerate(row):
+        at = _column(c.get("r")) if c.get("r") else k
+        v, kind = c.find("m:v", _NS), c.get("t")
+        if kind == "inlineStr":
+            value = _plain("".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")))
+        elif v is None or v.text is None:
+            value = ""
+        elif kind == "s":
+            value = _plain(shared[int(v.text)])
+        elif kind == "b":
+            value = "true" if v.text == "1" else "false"
+        elif kind in ("str", "e", "d"):
+            value = _plain(v.text)
+        else:
+            number, style = float(v.text), int(c.get("s") or 0)
+            value = _date_text(number, *dates[style], base) if style in dates and 0 <= number < 2_958_466 else str(int(number)) if number.is_integer() else repr(number)
+        cells += [""] * (at + 1 - len(cells))
+        cells[at] = value
+    return cells
+
+
+#: Rows of spreadsheets that a task hands over at a time.
+SHEET_BATCH = 2000
+
+
+def sheet_rows(books: DataFrame, sheet: int | None = 0) -> DataFrame:
+    """Cases (order_key, input_item) of spreadsheets in rows (book, content), in the order of book, a bigint below 2^39; read by executors.
+
+    The first row of each sheet names the columns; those with a blank name and rows without text are left out. With sheet None
+    all sheets count. A task holds a book and some of its rows, and a book has 1,048,576 rows to a sheet at most.
     """
 
-    @F.udf("array<map<string,string>>")
-    def rows(data: bytearray) -> list[dict[str, str]]:
-        head, *rest = [*read_xlsx(bytes(data), sheet)] or [[]]
-        names = [(k, n) for k, n in enumerate(head) if n.strip()]
-        return [{n: r[k] if k < len(r) else "" for k, n in names} for r in rest if any(r)]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                # a sheet at a time, for each has names of its own
+                data, nth = content.as_py(), 0
+                for k in range(_sheets(data)) if sheet is None else [sheet]:
+                    lines = read_xlsx(data, k)
+                    names = [(j, n) for j, n in enumerate(next(lines, [])) if n.strip()]
+                    while some := list(islice(lines, SHEET_BATCH)):
+                        items = [{n: r[j] if j < len(r) else "" for j, n in names} for r in some if any(r)]
+                        keys = range(nth, nth + len(items))
+                        nth += len(items)
+                        yield pa.RecordBatch.from_arrays([pa.array([(book << 24) + x for x in keys], pa.int64()), pa.array([[*x.items()] for x in items], pa.map_(pa.string(), pa.string()))], ["order_key", "input_item"])
+
+    return books.select(F.col("book").cast("bigint"), "content").mapInArrow(read, "order_key bigint, input_item map<string,string>")
+
+
+def _sheets(data: bytes) -> int:
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        return len(ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS))
+
 
-    files = spark.read.format("binaryFile").load(resolved(spark, path))
-    return files.select("path", F.posexplode(rows("content")).alias("row", "input_item")).select(F.col("row").cast("bigint").alias("order_key"), "input_item")
+def xlsx(spark: SparkSession, path: str, sheet: int | None = 0) -> DataFrame:
+    """Rows of one sheet, or of all for None; see sheet_rows. Files are read as binary by Spark, from any of its file systems, and parsed on executors."""
+    found = spark.read.format("binaryFile").load(resolved(spark, path))
+    # files in the order of their paths: a row for each file, without its content
+    order = reindexed(found.select("path"), ["path"], "book")
+    return sheet_rows(found.select("path", "content").join(F.broadcast(order), "path"), sheet)
 
 
 class PagedSource(DataSource):
