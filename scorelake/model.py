@@ -40,7 +40,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share, in spark.checkpoint.dir; a temporary one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_scratch()
     return f"{base}/scorelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

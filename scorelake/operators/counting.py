@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 
@@ -210,6 +211,32 @@ def attribute_index(found: DataFrame, top: int | None = None) -> DataFrame:
     return out.limit(top) if top is not None else out
 
 
+#: Issue names that a prompt lists at most, and names that a sketch of frequent ones keeps track of.
+LISTED, TRACKED = 200, 10_000
+
+
+def frequent_issues(found: DataFrame, top: int = LISTED, tracked: int = TRACKED) -> DataFrame:
+    """Rows (issue_name, case_count, error): the most frequent issues by a mergeable sketch of bounded size, most cases first.
+
+    Tasks keep ``tracked`` names at most and their sketches are merged, whatever the number of different names. A count is never
+    too low, and too high by error at most, the share of 4 / tracked of all rows; with fewer names than three quarters of
+    tracked all counts are exact. Ties go by name among those that the sketch gives.
+    """
+    if not 0 < top <= tracked:
+        raise ValueError("top must be from 1 to tracked")
+    sketch = found.agg(F.expr(f"approx_top_k(issue, {top}, {tracked})").alias("top"), F.count("issue").alias("n"), F.approx_count_distinct("issue").alias("names"))
+    rows = sketch.select(F.explode("top").alias("x"), "n", "names").select(F.col("x.item").alias("issue_name"), F.col("x.count").alias("case_count"), "n", "names")
+    error = F.when(F.col("names") < tracked // 2, F.lit(0)).otherwise(F.ceil(F.col("n") * 4 / tracked)).cast("bigint")
+    return rows.select("issue_name", "case_count", error.alias("error")).orderBy(F.desc("case_count"), "issue_name")
+
+
+def synonym_prompt(found: DataFrame, instruction: str, top: int = LISTED) -> str:
+    """Prompt that asks a model to put the most frequent issue names together: {standard: [synonyms]}, which synonym_table reads. Its length is bounded."""
+    names = [r.issue_name for r in frequent_issues(found, top).collect()]
+    form = json.dumps({"标准名称": ["同义名称"]}, ensure_ascii=False)
+    return f"{instruction}\n以JSON输出，不要输出其他内容: {form}\n" + "\n".join(names)
+
+
 def normalized_issues(found: DataFrame, synonyms: DataFrame, mode: str = "strict") -> DataFrame:
     """Issues under their standard names; synonyms (standard, synonym). strict drops issues without one, keep_unmapped keeps them."""
     if mode not in ("strict", "keep_unmapped"):

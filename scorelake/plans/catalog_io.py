@@ -203,6 +203,15 @@ def q71_mock_choices(spark, sf_dir):
     return rows.groupBy("rule", "value").agg(F.bool_and(F.col("value") == F.col("again")).alias("same_again"))
 
 
+@query("""SELECT issue_name, case_count, 0::BIGINT AS error FROM (SELECT p_type AS issue_name, count(*) AS case_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type
+  UNION ALL SELECT l_shipmode, count(*) FROM lineitem GROUP BY l_shipmode) ORDER BY case_count DESC, issue_name LIMIT 12""")
+def q78_frequent_issues(spark, sf_dir):
+    """The most frequent names by a sketch that merges, over skewed names."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    names = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("p_type").alias("issue")).union(lines.select("l_shipmode"))
+    return counting.frequent_issues(names, 12)
+
+
 # --- over HTTP ----------------------------------------------------------------------------
 
 

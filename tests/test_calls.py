@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.model import RunConfig
 from scorelake.operators import calls, external, judged, ledger, scoring
 from scorelake.plans import flow
+from scorelake.sinks import reports
 
 
 def test_answers_in_order_and_so_many_at_a_time():
@@ -140,3 +141,30 @@ def test_failed_answers_are_asked_again_and_repeated_cases_once(spark, tmp_path)
     assert lines(path) == ["a", "a", "b bad", "b bad", "c"]
     assert sorted(map(tuple, book.calls("m", external.REPLIES).collect())) == [(1, 4), (2, 1)]
     assert external.llm(rows.limit(0), lambda: Noted(path), "other", ledger=book).count() == 0
+
+
+def test_cases_are_delivered_once(spark, tmp_path):
+    """Also after a failing receiver and a killed worker, and with changed cases."""
+    path, book = str(tmp_path / "sent"), ledger.Ledger(spark, str(tmp_path / "book"), per_task=2)
+    nested = lambda df: reports.nested_cases(df.withColumn("extra", F.create_map().cast("map<string,string>")))
+    down = str(tmp_path / "down")
+    open(down, "w").close()
+
+    def send(case, key):
+        index = case["dataIndex"]
+        if index == 7 and os.path.exists(down):
+            raise RuntimeError("not now")
+        with open(path, "a") as f:
+            f.write(f"{index} {key}\n")
+
+    first = reports.delivered(nested(cases(spark)), send, book)
+    assert sorted((r.data_index, r.sent, r.error) for r in first.collect()) == [(k, k != 7, "not now" if k == 7 else None) for k in range(10)]
+    os.remove(down)
+    assert reports.delivered(nested(cases(spark)), send, book).where("sent").count() == 10
+    assert [x.split()[0] for x in lines(path)] == sorted(str(k) for k in range(10)) and len({x.split()[1] for x in lines(path)}) == 10
+    changed = cases(spark).withColumn("input_item", F.when(F.col("data_index") == 2, F.create_map(F.lit("q"), F.lit("other"))).otherwise(F.col("input_item")))
+    reports.delivered(nested(changed), send, book).count()
+    assert len(lines(path)) == 11
+    # another report sends its own
+    reports.delivered(nested(cases(spark, 3)), send, book, "second").count()
+    assert len(lines(path)) == 14

@@ -99,3 +99,19 @@ def test_counts_by_cube_have_exact_percentiles(spark):
     want = df.cube("g", "h").agg(*(c.alias(k) for k, c in counting.basic_metrics().items()))
     assert sorted(map(str, rows_)) == sorted(map(str, want.collect()))
     assert counting.basic_count(df).first() == df.agg(*(c.alias(k) for k, c in counting.basic_metrics().items())).first()
+
+
+def test_frequent_issues_of_many_names(spark):
+    """Few tracked names, many rare ones: the frequent ones are found, with counts inside the stated bound."""
+    often = {f"often{k}": 3000 - 200 * k for k in range(8)}
+    rows_ = spark.createDataFrame([(n, c) for n, c in often.items()], "issue string, c int").select("issue", F.explode(F.sequence(F.lit(1), "c")).alias("data_index"))
+    rare = spark.range(20_000).select(F.concat(F.lit("rare"), "id").alias("issue"), "id")
+    found = rows_.union(rare).repartition(5, "data_index")
+    got = counting.frequent_issues(found, 8, 1000).collect()
+    assert {r.issue_name for r in got} == set(often)
+    assert all(0 <= r.case_count - often[r.issue_name] <= r.error for r in got) and got[0].error < 200
+    few = counting.frequent_issues(rows_.select("issue", "data_index"), 20)
+    assert [(r.issue_name, r.case_count, r.error) for r in few.collect()] == sorted(((n, c, 0) for n, c in often.items()), key=lambda x: -x[1])
+    assert counting.frequent_issues(found.limit(0)).count() == 0
+    prompt = counting.synonym_prompt(rows_.select("issue", "data_index"), "group", 3)
+    assert prompt.splitlines()[-3:] == ["often0", "often1", "often2"]
