@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from functools import cache
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import calendar
+from scorelake.functions.values import put
 
 RULE = re.compile(r"\{\{([^{}]*)\}\}")
 
@@ -261,3 +262,115 @@ def mock_text(text: Column, key: Column, seed: int = 0, engine: Callable[[], Eng
         return pd.Series([made.filled([t], (seed, k), False)[0] for t, k in zip(texts, keys, strict=True)], dtype=object)
 
     return fill(text, key)
+
+
+# --- rules as columns -------------------------------------------------------------------
+
+#: Days of a date rule, and different rules of a table, up to which values are listed when a query is planned.
+LISTED_DAYS, LISTED_RULES = 4000, 10_000
+_TRIM = r"^\s+|\s+$"
+
+
+def choices(rule: str, engine: Engine) -> list[str] | None:
+    """All values that a rule may give with the library's own mockers, none for one without a value; None where they can't be listed: custom mockers, and dates over many days."""
+    name, *args = rule.split() or [""]
+    found = next((m for m in reversed(engine.mockers) if m.support(name, args)), None)
+    if found is None:
+        return []
+    if type(found) is DateMocker:
+        way = {"date": 0, "future_date": 1, "past_date": -1}.get(name.lower())
+        if way is None:
+            return []
+        least, most, pattern = found.parsed(args)
+        if least > most:
+            raise ValueError(f"no days from {least} to {most}")
+        if most - least >= LISTED_DAYS and way:
+            return None
+        now = found.now or datetime.now()
+        return [java_date(now + way * timedelta(days=d), pattern) for d in (range(least, most + 1) if way else [0])]
+    if type(found) in (HolidayMocker, AddressMocker, PlaceMocker):
+        listed = _Lister()
+        found.mock(name, args, listed)
+        return listed.names
+    return None
+
+
+class _Lister(Random):
+    """Takes note of what there is to choose from."""
+
+    names: list[str] = []
+
+    def choice(self, seq):
+        self.names = [*seq]
+        return self.names[0]
+
+
+def _spelled(text: Column, key: Column, seed: int, known: dict[str, list[str]], same: bool, keep: bool) -> Column:
+    """The text with its rules replaced by values of ``known``, drawn by hash of key, seed and the rule's place (or, with same, the rule)."""
+    pattern = RULE.pattern
+    table = F.create_map(*(x for rule, names in known.items() for x in (F.lit(rule), F.array(*map(F.lit, names)).cast("array<string>")))) if known else F.create_map().cast("map<string,array<string>>")
+
+    def value(rule: Column, place: Column) -> Column:
+        plain = F.regexp_replace(rule, _TRIM, "")
+        names = F.try_element_at(table, plain)
+        drawn = F.xxhash64(key, F.lit(seed), plain if same else place)
+        text = F.when(F.size(names) > 0, F.get(names, F.pmod(drawn, F.size(names)).cast("int")))
+        kept = F.concat(F.lit("{{"), rule if same else plain, F.lit("}}"))
+        out = F.coalesce(text, kept if keep else F.lit(""))
+        return F.when(plain == rule, out).otherwise(F.concat(F.lit("{{"), rule, F.lit("}}"))) if same else out
+
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), value)
+    parts = F.zip_with(F.split(text, pattern, -1), F.array_append(values, F.lit("")), lambda a, b: F.concat(a, b))
+    return F.when(text.contains("{{"), F.array_join(parts, "")).otherwise(text)
+
+
+def mock_known(text: Column, key: Column, rules: Iterable[str], seed: int = 0, engine: Callable[[], Engine] = Engine) -> Column:
+    """A text column with its rules replaced, like mock_text, by column expressions alone: of rules that are known when the query is planned.
+
+    Values are those of mock_text, draws aren't: they depend on key, seed and place in the text. Rules that aren't among the known
+    ones count as unknown. The time of a date rule is that of the plan. A rule of a custom mocker is an error here.
+    """
+    made, known = engine(), {}
+    for rule in rules:
+        names = choices(rule.strip(), made)
+        if names is None:
+            raise ValueError(f"values of this rule can't be listed: {rule}")
+        known[rule.strip()] = names
+    return _spelled(text, key, seed, known, False, made.keep_unknown)
+
+
+def rules_in(df: DataFrame, fields: list[str], most: int = LISTED_RULES) -> list[str] | None:
+    """Different rules in fields of input_item, found by one pass over the table; None if there are more than ``most``."""
+    texts = F.array_compact(F.array(*(F.try_element_at("input_item", F.lit(f)) for f in fields)))
+    found = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(RULE.pattern), 1)))
+    rows = df.select(F.explode(found).alias("rule")).select(F.regexp_replace("rule", _TRIM, "").alias("rule")).distinct().limit(most + 1).collect()
+    return None if len(rows) > most else sorted(r.rule for r in rows)
+
+
+def mocked_in_columns(df: DataFrame, fields: list[str], seed: int = 0, engine: Callable[[], Engine] = Engine, same: bool = False, key: str = "data_index") -> DataFrame:
+    """Like mocked, by column expressions where all rules' values can be listed, else by mocked itself.
+
+    One pass finds the different rules; their values are part of the plan. A row with a rule that fails stays
+    as it was. Values depend on seed and key only, and are drawn otherwise than by mocked.
+    """
+    rules, made, known, wrong = rules_in(df, fields), engine(), {}, []
+    if rules is None:
+        return mocked(df, fields, seed, engine, same, key)
+    for rule in rules:
+        try:
+            known[rule] = choices(rule, made)
+        except Exception:  # rows that have it stay as they are
+            wrong.append(rule)
+    if None in known.values():
+        return mocked(df, fields, seed, engine, same, key)
+    item = F.col("input_item")
+    out, failed = item, F.lit(False)
+    for place, f in enumerate(fields):
+        old = F.try_element_at(item, F.lit(f))
+        if wrong:
+            plain = F.transform(F.regexp_extract_all(F.coalesce(old, F.lit("")), F.lit(RULE.pattern), 1), lambda r: F.regexp_replace(r, _TRIM, ""))
+            failed = failed | F.arrays_overlap(plain, F.array(*map(F.lit, wrong)))
+        # fields of a row draw on their own, but for the same rule where that is wanted
+        value = _spelled(old, F.col(key), seed if same else seed * 1000 + place, known, same, made.keep_unknown)
+        out = F.when(old.isNotNull(), put(out, f, value)).otherwise(out)
+    return df.withColumn("input_item", F.when(failed, item).otherwise(out))

@@ -142,8 +142,9 @@ def q65_top_issues(spark, sf_dir):
 
 @query("SELECT doc_id, '燕儿窝街道 除夕 ' || lang AS text FROM documents")
 def q66_mock_rules(spark, sf_dir):
-    template = F.concat(F.lit("{{street 新疆 乌鲁木齐市}} {{between_chinese_holiday 20250128 20250129}} "), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", mock.mock_text(template, F.col("doc_id"), 7).alias("text"))
+    rules = "street 新疆 乌鲁木齐市", "between_chinese_holiday 20250128 20250129"
+    template = F.concat(F.lit("".join("{{%s}} " % r for r in rules)), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", mock.mock_known(template, F.col("doc_id"), rules, 7).alias("text"))
 
 
 @query("SELECT event_id, 2::BIGINT AS n, event_type AS event, props || chr(10) || 'more' AS data FROM events")
@@ -199,19 +200,33 @@ def q71_mock_choices(spark, sf_dir):
     """All values that rules with several give over the documents, and whether the same seed gives the same again."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _CHOICES))).alias("rule"))
     key = F.xxhash64("doc_id", "rule")
-    rows = rows.withColumn("value", mock.mock_text(F.col("rule"), key, 5)).withColumn("again", mock.mock_text(F.col("rule"), key, 5))
+    made = lambda: mock.mock_known(F.col("rule"), key, [r.strip("{}") for r in _CHOICES], 5)
+    rows = rows.withColumn("value", made()).withColumn("again", made())
     return rows.groupBy("rule", "value").agg(F.bool_and(F.col("value") == F.col("again")).alias("same_again"))
 
 
 @query("""SELECT issue_name, case_count, 0::BIGINT AS error FROM (SELECT p_type AS issue_name, count(*) AS case_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type
-  UNION ALL SELECT l_shipmode, count(*) FROM lineitem GROUP BY l_shipmode) ORDER BY case_count DESC, issue_name LIMIT 12""")
+  UNION ALL SELECT l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag) ORDER BY case_count DESC, issue_name LIMIT 12""")
 def q78_frequent_issues(spark, sf_dir):
     """The most frequent names by a sketch that merges, over skewed names."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    names = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("p_type").alias("issue")).union(lines.select("l_shipmode"))
+    names = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("p_type").alias("issue")).union(lines.select("l_returnflag"))
     return counting.frequent_issues(names, 12)
 
 
+@query("SELECT item_id AS data_index, 'on 2024-01-0' || 1 || ' at ' || CASE WHEN text LIKE '%the%' THEN '除夕' ELSE '' END || ' {{date 1 2 3 4}}' AS kept, CASE WHEN text LIKE '%the%' THEN '除夕 and 除夕' ELSE 'plain' END AS text FROM benchmark")
+def q79_mocked_in_columns(spark, sf_dir):
+    """Rules in two fields of cases, replaced by column expressions; a field with a rule that fails keeps its case as it was."""
+    rule = "{{between_chinese_holiday 20250128 20250129}}"
+    has = F.col("text").like("%the%")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("data_index"), has.alias("has"), F.create_map(F.lit("text"), F.when(has, F.lit(f"{rule} and {rule}")).otherwise("plain")).alias("input_item"))
+    some = mock.mocked_in_columns(items, ["text", "missing"], 3)
+    bad = F.concat(F.lit("on 2024-01-01 at "), F.when(F.col("has"), "除夕").otherwise(""), F.lit(" {{date 1 2 3 4}}"))
+    kept = mock.mocked_in_columns(items.withColumn("input_item", F.create_map(F.lit("text"), bad)), ["text"])
+    both = some.join(kept.select("data_index", F.col("input_item")["text"].alias("kept")), "data_index")
+    return both.select("data_index", "kept", F.col("input_item")["text"].alias("text"))
+
+
 # --- over HTTP ----------------------------------------------------------------------------
 
 
