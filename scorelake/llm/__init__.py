@@ -3,5 +3,6 @@
 Nothing else in the library imports this subpackage; ``queries`` registers
 one query per operator.  Import the operator modules directly:
 ``langid``, ``packing``, ``dedup``, ``token_files``, ``quality``,
-``toxicity``, ``ngram_join``, ``mixing``, ``urls`` and ``lines``.
+``toxicity``, ``ngram_join``, ``mixing``, ``urls``, ``lines``, ``alignment``,
+``substrings`` and ``resampling``.
 """

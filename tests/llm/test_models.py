@@ -280,3 +280,35 @@ def test_statistics_against_a_plain_version(n):
 def test_clean_keeps_columns(odd, corpus, labels):
     out = toxicity.clean(odd, labels)
     assert out.columns == odd.columns and out.count() == odd.count()
+
+
+def plain_paths(x, y, edges, some, depth, least, path=()):
+    """The same trees by trying every cut of every feature on the rows themselves."""
+    out = [path] if path else []
+    if depth == 0 or len(y) < 2 * least or len(set(y)) < 2:
+        return out
+    best, at = 1e-9, None
+    for f in some:
+        gains = []
+        for cut in edges[f]:
+            low = x[:, f] <= cut
+            n, p = int(low.sum()), float(y[low].sum())
+            ok = n >= least and len(y) - n >= least
+            gains.append(p * p / n + (y.sum() - p) ** 2 / (len(y) - n) - y.sum() ** 2 / len(y) if ok else 0.0)
+        if gains and max(gains) > best:
+            best, at = max(gains), (f, float(edges[f][int(np.argmax(gains))]))
+    if at is None:
+        return out
+    low = x[:, at[0]] <= at[1]
+    return out + plain_paths(x[low], y[low], edges, some, depth - 1, least, (*path, (*at, True))) + plain_paths(x[~low], y[~low], edges, some, depth - 1, least, (*path, (*at, False)))
+
+
+def test_tree_paths_are_those_of_a_plain_search():
+    draw = np.random.default_rng(4)
+    for size in (30, 200, 600):
+        x = draw.integers(0, 12, (size, 4)).astype(float)
+        y = ((x[:, 0] > 5) ^ (x[:, 2] > 8) ^ (draw.random(size) < 0.1)).astype(float)
+        edges = [np.unique(x[:, f])[:-1] if f != 3 else np.zeros(0) for f in range(4)]
+        for some in ([0, 1, 2, 3], [2, 0], [3]):
+            got = list(quality._paths(x, y, edges, np.array(some), 3))
+            assert got == plain_paths(x, y, edges, some, 3, quality.LEAST) and (got or some == [3] or size == 30)

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -252,3 +253,19 @@ def test_compiled_trees_equal_numpy(spark):
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("abcd",)], "s string").select(urls.entropy(F.col("s")).alias("e")).collect()
     assert [r.e for r in got] == [1.0, 0.0, 0.0, 2.0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
+def test_trees_on_urls_that_no_rule_has_labelled_for_them(spark):
+    """Of the URLs that rules decide a fifth is held out: the trees' verdicts on it, which see neither rules nor these labels."""
+    pages = urls.matched(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    rows = pages.where("found is not null").select(F.col("page_id").alias("key"), "url", "host", "path", (F.col("found.verdict") == "block").cast("int").alias("y"))
+    rates, base, probability = urls.classifier(rows.where("crc32(cast(key as string)) % 5 <> 0"))
+    x = urls.features(F.col("url"), F.col("host"), F.col("path"), rates, base)
+    held = rows.where("crc32(cast(key as string)) % 5 = 0").select("y", F.struct(*(c.alias(k) for k, c in x.items())).alias("x"))
+    got = held.select("y", (probability([F.col(f"x.{k}") for k in x]) >= urls.BLOCK_FROM).cast("int").alias("p")).groupBy("y", "p").count().collect()
+    counts = {(r.y, r.p): r["count"] for r in got}
+    right, all_ = sum(n for (y, p), n in counts.items() if y == p), sum(counts.values())
+    print("held-out URLs", counts)
+    majority = max(sum(n for (y, _), n in counts.items() if y == k) for k in (0, 1))
+    assert all_ > 100 and right > 0.8 * all_ and right > majority, counts
