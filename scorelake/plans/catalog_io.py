@@ -22,6 +22,7 @@ from scorelake.plans.catalog import query
 from scorelake.plans.views import EVENT_CASES, table
 from scorelake.sinks import reports
 from scorelake.sources import files
+from scorelake.streaming import ordered
 
 
 class _Judge:
@@ -227,6 +228,20 @@ def q79_mocked_in_columns(spark, sf_dir):
     return both.select("data_index", "kept", F.col("input_item")["text"].alias("text"))
 
 
+@query("SELECT conv_id, count(*) AS n, true AS in_order, 0::BIGINT AS late FROM conversations GROUP BY conv_id")
+def q80_order_across_batches(spark, sf_dir):
+    """Turns that three files bring out of order, released by conversation in their order, whatever batch they came in."""
+    path = scratch(spark, "turns")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns.withColumn("file", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))).repartition(1, "file").write.partitionBy("file").parquet(f"{path}/queue")
+    cases = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/queue")
+    ordered.release_all(cases, "conv_id", "turn", 0, f"{path}/results", f"{path}/checkpoint")
+    rows = spark.read.parquet(f"{path}/results")
+    seen = F.array_sort(F.collect_list(F.struct("batch_id", "turn")))
+    by_turn = F.transform(F.array_sort(F.collect_list(F.struct("turn", "batch_id"))), lambda x: F.struct(x["batch_id"], x["turn"]))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), (seen == by_turn).alias("in_order"), F.count_if("__late").alias("late"))
+
+
 # --- over HTTP ----------------------------------------------------------------------------
 
 
