@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import scratch_path
-from scorelake.llm.tokens import encoder, vocabulary_path
+from scorelake.llm.tokens import encoder, ragged, vocabulary_path
 
 MAGIC, VERSION = 0x52505452, 1
 END = 0
@@ -52,30 +52,36 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | Non
     room = (1 << 16) - first_rule
     slot = np.zeros(1 << HASH_BITS, np.uint16)  # by hash: the place of a pair among those of the round, plus 1
     for done in count() if rounds is None else range(rounds):
-        if len(seq) < 2 or firsts[-1] >= room:
+        if len(seq) <= max(1, least) or firsts[-1] >= room:
             break
-        codes = seq[:-1].astype(np.uint32) << 16 | seq[1:]
+        codes = seq[:-1].astype(np.uint32)
+        codes <<= np.uint32(16)
+        codes |= seq[1:]
         codes[ends[:-1]] = NO_PAIR
         ordered = np.sort(codes)
-        starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        starts = np.r_[0, starts, len(ordered)]
-        counts = np.diff(starts)
-        often = np.flatnonzero(counts >= least)
-        often = often[ordered[starts[often]] != NO_PAIR]
+        # runs of equal pairs by their ends; most pairs are rare and aren't listed
+        new = np.r_[True, ordered[1:] != ordered[:-1], True]
+        enough = ordered[least - 1 :] == ordered[: len(ordered) - least + 1]
+        often = np.flatnonzero(enough & new[: len(enough)])
+        counts = np.flatnonzero(enough & new[least:]) + least - often
+        pairs = ordered[often]
+        pairs, counts = pairs[pairs != NO_PAIR], counts[pairs != NO_PAIR]
         # the most frequent pairs of this round; later rounds pair up the new symbols
         quota = -(-(room - firsts[-1]) // max(1, (BATCHES if rounds is None else rounds) - done))
-        if len(often) > quota:
-            often = often[np.argsort(-counts[often], kind="stable")[:quota]]
-        if not len(often):
+        if len(pairs) > quota:
+            bound = np.partition(counts, -quota)[-quota]
+            tied = np.flatnonzero(counts == bound)
+            counts[tied[quota - np.count_nonzero(counts > bound) :]] = 0  # of equal counts the smallest pairs
+            pairs = pairs[counts >= bound]
+        if not len(pairs):
             break
-        pairs = np.sort(ordered[starts[often]])
         slot[:] = 0
         slot[_hashed(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
         pairs = pairs[slot[_hashed(pairs)] == np.arange(1, len(pairs) + 1)]  # of pairs with one hash the last stays
         slot[:] = 0
         slot[_hashed(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.uint16)
-        at = slot[_hashed(codes)]
-        where = np.flatnonzero(at)
+        at = slot.take(_hashed(codes))
+        where = np.flatnonzero(at != 0)
         at = at[where].astype(np.int64) - 1
         hit = pairs[at] == codes[where]
         where, at = where[hit], at[hit]
@@ -99,12 +105,6 @@ def _hashed(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint32(2654435769)) >> np.uint32(32 - HASH_BITS)
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Expansions:
     """What each symbol stands for: sizes of all symbols, and where their ids are in one array."""
 
@@ -114,12 +114,12 @@ class Expansions:
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):  # rules of a round refer to earlier ones
             sides = rules[a:b].astype(np.int64)
             sizes = self.sizes[sides].sum(1)
-            more = self.ids[_ragged(self.starts[sides.ravel()], self.sizes[sides.ravel()])]
+            more = self.ids[ragged(self.starts[sides.ravel()], self.sizes[sides.ravel()])]
             self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
             self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, more]
 
     def __call__(self, seq: np.ndarray) -> np.ndarray:
-        return self.ids[_ragged(self.starts[seq], self.sizes[seq])]
+        return self.ids[ragged(self.starts[seq], self.sizes[seq])]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, firsts: np.ndarray, first_rule: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     tokenizer = tokenizer or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task, shard = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        code, task, shard = encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0
         end = np.array([END], "<u4").tobytes()
         ids, parts, size = [], [], 0
 
@@ -203,9 +203,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "tokens", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, tokens in zip(batch.column(0).to_pylist(), code(batch.column(1)), strict=True):
                 ids.append(NO_ID if doc is None else doc)
-                parts.append(code(text.as_py()) + end)
+                parts.append(tokens + end)
                 size += len(parts[-1]) // 4
                 if size >= shard_tokens:
                     yield flushed()

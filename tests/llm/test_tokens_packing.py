@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,3 +184,45 @@ def test_rows_of_one_id_have_one_order(make):
     rows = [(None if k % 3 else 5, " ".join(["ab", "naïve", "x"][: k % 4]) + f" {k % 17}", "en", "a") for k in range(200)]
     first, again = (sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.round_trip(make(rows, parts=p), shard_tokens=300).collect()) for p in (2, 7))
     assert first == again and len({r[0] for r in first}) == 200
+
+
+def test_encode_all_looks_a_word_up_once_for_many_texts():
+    coder, asked = Encoder(vocabulary_path()), []
+
+    class Counted(type(coder.rest)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    coder.rest = Counted(coder, " ")
+    assert len(set(coder.encode_all(pa.array(["so talt, talt. talt"] * 500)))) == 1 and asked == ["talt"]
+
+
+@pytest.mark.parametrize("size", [1, 300, 8 << 20])
+def test_encode_all_of_odd_texts(monkeypatch, size):
+    """Copies, more texts than a chunk holds, slices, and texts that go through the library whole."""
+    texts = ["Ærlig talt, das naïve wort's 12 %!\nwort talt, ünd..", None, "", " wort", "wort ", "a\n\nb", "wort  wort", "a <|endoftext|> b", "漢字 wort,\nпривет!", "\n", "x\ttalt talt"] * 30
+    want = [np.array(LIBRARY.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr("scorelake.llm.tokens.CHUNK", size)
+    for some in (pa.array(texts), pa.array(["cut", *texts])[1:], pa.array(texts, pa.large_string())):
+        assert list(Encoder(vocabulary_path()).encode_all(some)) == want
+    assert list(encoder(vocabulary_path()).encode_all(pa.array([], pa.string()))) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\r\x0b\x85　\xa0ab.,!'s1é漢_<|>", " mot", "Ærə", "<|endoftext|>"]), max_size=14).map("".join) | st.text(max_size=30), max_size=5))
+def test_encode_all_equals_the_library(texts):
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(vocabulary_path()).encode_all(pa.array(texts, pa.string()))] == want
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_repair_takes_the_most_frequent_pairs(least):
+    """Of equal counts the smallest pairs, as many as a round has room for."""
+    ids = np.array([1, 2] * 9 + [3, 4] * 5 + [5, 6] * 5 + [7, 8] * 2 + [9], np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[[17, 27, 37, 41, 42]] = True
+    rules, firsts = token_files.repair(ids, last, (1 << 16) - 2, 1, least)[2:]
+    assert rules.tolist() == [[1, 2], [2, 1]] and firsts == [0, 2]
+    seq, last, rules, firsts = token_files.repair(ids, last, 100, 3, least)
+    assert token_files.expand(seq, rules, np.array(firsts), 100).tolist() == ids.tolist()
